@@ -25,7 +25,7 @@ MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?([Zz]|[+-]\d{2}:?\d{2}(:\d{2})?)?)?$"
 _RFC = (
-    r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})\s+"
+    r"^(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+|[A-Za-z]+,\s*)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}|\d{2})\s+"
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?:\s+([+-]\d{4}|[A-Za-z]{1,4}))?(?:\s*\(.*\))?$"
 )
 

@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from newslake.functions.once import computed_once
 from newslake.functions.text import strip
 
 # Elements and attribute words that mark boilerplate.
@@ -177,17 +178,30 @@ def with_boilerplate_cut(df: DataFrame, page: str, out: str) -> DataFrame:
     plain = F.col("_plain")
     odd = plain.rlike(_LEFT_OVER) | plain.rlike(_MARKED)
     return (
-        df.withColumn("_plain", strip_tag_pairs(F.col(page)))
+        df.withColumn("_plain", computed_once(strip_tag_pairs(F.col(page))))
         .withColumn("_cut", _cut_boilerplate(F.when(odd, F.regexp_replace(page, _COMMENT, ""))))
         .withColumn(out, F.coalesce("_cut", "_plain"))
         .drop("_plain", "_cut")
     )
 
 
+def _escape_marks(page: Column) -> Column:
+    """Backslash before the Markdown marks of the text, not of the tags. One pass per piece between tags."""
+    def escape(text: Column) -> Column:
+        return F.regexp_replace(text, r"([*_])", r"\\$1")
+
+    def after_tag(piece: Column) -> Column:
+        tag = F.regexp_extract(piece, r"^[^>]*>", 0)
+        return F.concat(tag, escape(F.substring(piece, F.length(tag) + 1, F.length(piece))))
+
+    pieces = F.split(page, "<")
+    escaped = F.transform(pieces, lambda piece, i: F.when(i == 0, escape(piece)).otherwise(after_tag(piece)))
+    return F.when(page.rlike("[*_]"), F.array_join(escaped, "<")).otherwise(page)
+
+
 def markup_ladder(page: Column) -> Column:
     """The ladder alone, for markup without boilerplate; character references stay."""
-    text = F.regexp_replace(page, r"(?is)<!doctype[^>]*>", "")
-    text = F.regexp_replace(text, r"([*_])(?![^<>]*>)", r"\\$1")
+    text = F.regexp_replace(_escape_marks(page), r"(?is)<!doctype[^>]*>", "")
     for pattern, replacement in MARKDOWN_LADDER:
         text = F.regexp_replace(text, pattern, replacement)
     return text
@@ -213,10 +227,10 @@ def with_entities_decoded(df: DataFrame, text: str, out: str) -> DataFrame:
 def with_markdown(df: DataFrame, page: str, out: str) -> DataFrame:
     """Add ``out``, the clean Markdown of the HTML page or fragment in ``page``."""
     df = with_boilerplate_cut(df, page, "_body")
-    df = df.withColumn("_marked_up", markup_ladder(F.col("_body")))
+    df = df.withColumn("_marked_up", computed_once(markup_ladder(F.col("_body"))))
     df = with_entities_decoded(df, "_marked_up", "_decoded")
     tidy = strip(F.regexp_replace("_decoded", r"\n{3,}", "\n\n"))
-    return df.withColumn(out, tidy).drop("_body", "_marked_up", "_decoded")
+    return df.withColumn(out, computed_once(tidy)).drop("_body", "_marked_up", "_decoded")
 
 
 def inner_text(markup: Column) -> Column:

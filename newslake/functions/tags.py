@@ -21,27 +21,33 @@ def detect_tags(
     keywords: dict[str, list[str]] | None = None,
     whole_words: bool = False,
 ) -> Column:
-    """Sorted tags of a text and its title, one pass of JVM substring tests.
+    """Sorted tags of a text and its title, by substring tests in the JVM.
 
     Matching has no word boundary unless ``whole_words`` is asked for.
     """
     words = TAG_KEYWORDS if keywords is None else keywords
     title = F.lit("") if title is None else F.coalesce(title, F.lit(""))
-    seen = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), title))
+    lowered = F.lower(F.concat(F.coalesce(text, F.lit("")), F.lit(" "), title))
 
-    def found(word: str) -> Column:
+    def found(seen: Column, word: str) -> Column:
         if not whole_words:
             return F.contains(seen, F.lit(word))
         quoted = "".join(c if c.isalnum() else "\\" + c for c in word)
         return seen.rlike(rf"(?<![\p{{L}}\p{{N}}]){quoted}(?![\p{{L}}\p{{N}}])")
 
-    hits = []
-    for tag in sorted(words):
-        test = F.lit(False)
-        for word in words[tag]:
-            test = test | found(word)
-        hits.append(F.when(test, F.lit(tag)))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    def tags_in(seen: Column) -> Column:
+        hits = []
+        for tag in sorted(words):
+            test = F.lit(False)
+            for word in words[tag]:
+                test = test | found(seen, word)
+            hits.append(F.when(test, F.lit(tag)))
+        return F.array_compact(F.array(*hits))
+
+    if not words:
+        return F.array().cast("array<string>")
+    # The lambda variable holds the lowered text, which would otherwise be made again for every keyword.
+    return F.element_at(F.transform(F.array(lowered), tags_in), 1)
 
 
 def keyword_table(spark: SparkSession, keywords: dict[str, list[str]] | None = None) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Unicode white space as Python's str.strip() sees it; Spark's trim removes blanks only.
-WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Unicode white space as Python's str.strip() sees it; Spark's trim removes blanks only by default.
+WHITE = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 # Fixed values of the record formats.
 CARD_SNIPPET_CHARS = 280
@@ -15,7 +15,7 @@ CHAT_ANSWER_CHARS = 500
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def article_id(url: Column) -> Column:

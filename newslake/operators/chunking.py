@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions.chunker import MAX_CHARS, OVERLAP, chunk_text, fixed_windows
+from newslake.functions.once import computed_once
 from newslake.functions.tags import detect_tags
 from newslake.functions.text import chunk_id, tag_union
 
@@ -13,7 +14,7 @@ def chunk_articles(
     articles: DataFrame, id_column: str, text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP
 ) -> DataFrame:
     """``(id, chunk_index, content)`` by the recursive chunker."""
-    pieces = articles.select(id_column, chunk_text(F.col(text), max_chars, overlap).alias("_pieces"))
+    pieces = articles.select(id_column, computed_once(chunk_text(F.col(text), max_chars, overlap)).alias("_pieces"))
     return pieces.select(id_column, F.posexplode("_pieces").alias("chunk_index", "content"))
 
 
@@ -22,7 +23,8 @@ def fixed_chunks(
 ) -> DataFrame:
     """``(id, chunk_index, content)`` by windows of fixed size."""
     windows = fixed_windows(F.col(text), size, overlap)
-    return articles.select(id_column, F.posexplode(windows).alias("chunk_index", "content"))
+    pieces = articles.select(id_column, computed_once(windows).alias("_pieces"))
+    return pieces.select(id_column, F.posexplode("_pieces").alias("chunk_index", "content"))
 
 
 def chunk_records(
@@ -39,7 +41,7 @@ def chunk_records(
             F.coalesce("tags", F.array().cast("array<string>")),
             detect_tags(F.col("content"), F.col("title"), keywords),
         ),
-    ).withColumn("_pieces", chunk_text(F.col("content"), max_chars, overlap))
+    ).withColumn("_pieces", computed_once(chunk_text(F.col("content"), max_chars, overlap)))
     rows = tagged.drop("content", "tags").select("*", F.posexplode("_pieces").alias("chunk_index", "content"))
     return rows.select(
         chunk_id(F.col("article_id"), F.col("chunk_index")).alias("chunk_id"),

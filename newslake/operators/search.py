@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.operators.ranking import first_per_group
@@ -116,8 +117,13 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _usable(df: DataFrame, id_column: str) -> DataFrame:
-    return df.select(id_column, "embedding").where(F.size("embedding") > 0)
+def _narrow(df: DataFrame, id_column: str) -> DataFrame:
+    return df.select(id_column, "embedding")
+
+
+def _filled(batch):
+    """Rows with a vector. Done here, as a Spark filter would evaluate a computed vector a second time."""
+    return batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch["embedding"]), 0), 0))
 
 
 def top_k(
@@ -133,17 +139,19 @@ def top_k(
     Up to ``max_broadcast`` questions (read with that limit) are sent to the tasks that scan the chunks, and
     the chunk side is never shuffled. More questions are cut into blocks that meet blocks of chunks.
     """
-    questions, chunks = _usable(questions, "question_id"), _usable(chunks, "chunk_id")
+    questions, chunks = _narrow(questions, "question_id"), _narrow(chunks, "chunk_id")
     ddl, schema = _result_schema(questions, chunks)
     head = questions.limit(max_broadcast + 1).toArrow()
     if head.num_rows > max_broadcast:
         return _ranked(_by_blocks(questions, chunks, k, question_block, chunk_block), k)
+    head = _filled(head)
     sent = chunks.sparkSession.sparkContext.broadcast((_ids(head["question_id"]), _matrix(head["embedding"])))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         question_ids, matrix = sent.value
         best = _Best(matrix, k)
         for batch in batches:
+            batch = _filled(batch)
             if batch.num_rows and len(question_ids):
                 best.add(_ids(batch.column("chunk_id")), _matrix(batch.column("embedding")))
         yield from _emit(best, question_ids, schema)
@@ -153,6 +161,7 @@ def top_k(
 
 def _cell_search(k: int, schema: pa.Schema):
     def search(questions: pa.Table, chunks: pa.Table) -> pa.Table:
+        questions, chunks = _filled(questions), _filled(chunks)
         if not questions.num_rows or not chunks.num_rows:
             return schema.empty_table()
         best = _Best(_matrix(questions["embedding"]), k)
@@ -205,6 +214,7 @@ def with_buckets(vectors: DataFrame, id_column: str, dims: int, tables: int, bit
 
     def hash_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = _filled(batch)
             if not batch.num_rows:
                 continue
             side = (_matrix(batch.column("embedding")) @ planes.T >= 0).reshape(batch.num_rows, tables, bits)
@@ -213,7 +223,7 @@ def with_buckets(vectors: DataFrame, id_column: str, dims: int, tables: int, bit
             column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(buckets.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "buckets"])
 
-    kept = _usable(vectors, id_column)
+    kept = _narrow(vectors, id_column)
     element = kept.schema["embedding"].dataType.simpleString()
     hashed = kept.mapInArrow(hash_batches, f"{id_column} {kind}, embedding {element}, buckets array<int>")
     return hashed.select(id_column, "embedding", F.posexplode("buckets").alias("tab", "bucket"))

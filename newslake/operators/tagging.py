@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from newslake.functions.chunker import fixed_windows
 from newslake.functions.tags import detect_tags
 
 MAX_INLINE_KEYWORDS = 500
@@ -34,17 +35,17 @@ def _gram_join(articles: DataFrame, keywords: DataFrame, id_column: str, text: s
     Only a gram of each text is exploded, with the places where it starts, so verification compares the
     keyword with the text that follows instead of moving whole texts.
     """
-    longest = keywords.agg(F.coalesce(F.max(F.length("keyword")), F.lit(0)).alias("n"))
+    longest = keywords.agg(F.max(F.length("keyword"))).first()[0] or 1
     words = keywords.where(F.length("keyword") > 0).select(
         "tag", "keyword", F.substring("keyword", 1, GRAM).alias("gram")
     ).distinct()
-    lowered = articles.select(id_column, F.lower(F.col(text)).alias("_text"), longest.scalar().alias("_longest"))
-
-    def windows(text_column, width):
-        places = F.sequence(F.lit(1), F.greatest(F.length(text_column), F.lit(1)))
-        return F.array_distinct(F.transform(places, lambda i: F.substring(text_column, i, width)))
-
-    rows = lowered.select(id_column, F.explode(windows(F.col("_text"), F.col("_longest"))).alias("_window"))
+    # Short overlapping blocks keep the cost of cutting windows linear in the length of the text.
+    block = max(256 + longest, 2 * longest)
+    lowered = articles.select(id_column, F.lower(F.col(text)).alias("_text"))
+    blocks = lowered.select(id_column, F.explode(fixed_windows(F.col("_text"), block, longest)).alias("_block"))
+    places = F.sequence(F.lit(1), F.length("_block"))
+    windows = F.array_distinct(F.transform(places, lambda i: F.substring("_block", i, F.lit(longest))))
+    rows = blocks.select(id_column, F.explode(windows).alias("_window"))
     grams = F.array_distinct(F.array(*[F.substring("_window", 1, k) for k in range(1, GRAM + 1)]))
     rows = rows.select(id_column, "_window", F.explode(grams).alias("gram"))
     hits = rows.join(words, (rows["gram"] == words["gram"]) & F.startswith(rows["_window"], words["keyword"]))

@@ -2,42 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterable, Iterator
 
-from newslake.functions.vectors import DIMS, dot, term_counts, term_dims, unit
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from newslake.functions.vectors import DIMS, dot, term_cells, terms, unit, weigh_terms
 
 
 def fit_idf(texts: DataFrame, text: str = "content", dims: int = DIMS) -> DataFrame:
-    """``(dim, df, idf)``: at most ``dims`` rows, however large the corpus.
+    """``(dim, df, idf)``: ``dims`` rows, however large the corpus.
 
-    Every task sends at most ``dims`` partial counts, so no shuffle moves text or terms.
+    One scan. Every task sends ``dims`` partial counts and its number of texts, no text and no term.
     """
-    seen = texts.select(F.explode(F.array_distinct(term_dims(F.col(text), dims))).alias("dim"))
-    size = texts.agg(F.count("*").alias("n")).scalar()
-    df = seen.groupBy("dim").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((1.0 + size) / (1.0 + F.col("df"))) + 1.0)
-
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(dims, dtype=np.int64), 0
+        for batch in batches:
+            cells = np.unique(term_cells(batch.column(0), dims))
+            df += np.bincount(cells % dims, minlength=dims)
+            n += batch.num_rows
+        columns = [np.arange(dims, dtype=np.int32), df, np.full(dims, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim", "df", "n"])
 
-def idf_array(idf: DataFrame, dims: int = DIMS) -> Column:
-    """The idf table as one array in a scalar subquery: read once, no join."""
-    weights = idf.agg(F.map_from_entries(F.collect_list(F.struct("dim", "idf"))).alias("w"))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("w", d), F.lit(0.0))
-    )
-    return weights.select(dense.alias("w")).scalar()
+    partial = texts.select(terms(F.col(text))).mapInArrow(count, "dim INT, df BIGINT, n BIGINT")
+    total = partial.groupBy("dim").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    return total.select("dim", "df", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def vectorise(texts: DataFrame, idf: DataFrame, text: str = "content", dims: int = DIMS) -> DataFrame:
     """Add ``embedding``: term frequency times idf per dimension, at unit length.
 
-    A narrow pass: terms are hashed in the JVM, counted by Arrow batch and weighted in the JVM.
+    The model is the idf table, ``dims`` rows at most, and is read to the driver as a Spark ML model would
+    be. The texts see one narrow pass: they are cut into terms in the JVM, then hashed, counted and weighted per Arrow batch.
     """
-    counted = texts.withColumns({
-        "_counts": term_counts(term_dims(F.col(text), dims), dims),
-        "_idf": idf_array(idf, dims),
-    })
-    weighted = counted.withColumn("_weights", F.zip_with("_counts", "_idf", lambda c, w: c * w))
-    return weighted.withColumn("embedding", unit(F.col("_weights"))).drop("_counts", "_idf", "_weights")
+    weights = [0.0] * dims
+    for row in idf.select("dim", "idf").collect():
+        weights[row["dim"]] = row["idf"]
+    return texts.withColumn("embedding", weigh_terms(terms(F.col(text)), weights))
 
 
 def sparse_terms(vectors: DataFrame, id_column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions.dates import parse_iso
 from newslake.functions.html import with_markdown
+from newslake.functions.once import computed_once
 from newslake.functions.text import article_id, first_filled, present_or
 from newslake.operators.dedupe import dedupe
 from newslake.operators.ranking import first_per_group
@@ -20,7 +21,7 @@ DEFAULT_SOURCE = "NewsAPI"
 
 def parse_pages(payloads: DataFrame) -> DataFrame:
     """Parse the bodies. ``bad`` marks pages that are failed, not ok, unreadable or empty."""
-    parsed = payloads.withColumn("envelope", F.from_json("body", NEWSAPI_ENVELOPE))
+    parsed = payloads.withColumn("envelope", computed_once(F.from_json("body", NEWSAPI_ENVELOPE)))
     good = (
         (F.col("http_status") < 400)
         & (F.col("envelope.status") == "ok")
@@ -101,7 +102,7 @@ def newest_per_topic(
 
     A topic with any failed or not-ok page is left out whole.
     """
-    pages = payloads.withColumn("envelope", F.from_json("body", NEWSAPI_ENVELOPE))
+    pages = payloads.withColumn("envelope", computed_once(F.from_json("body", NEWSAPI_ENVELOPE)))
     good = F.coalesce((F.col("http_status") < 400) & (F.col("envelope.status") == "ok"), F.lit(False))
     failed = pages.where(~good).select("topic").distinct()
     raw = page_articles(pages.join(failed, "topic", "left_anti"))

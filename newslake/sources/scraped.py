@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions.dates import normalise_date
 from newslake.functions.html import page_title, with_markdown
+from newslake.functions.once import computed_once
 from newslake.functions.text import WHITE, first_filled, netloc, repo_name, source_host, strip, url_path
 from newslake.schemas import FEED_DOCUMENT, GITHUB_RELEASES
 
@@ -16,7 +17,7 @@ from newslake.schemas import FEED_DOCUMENT, GITHUB_RELEASES
 def payload_route(url: Column, content_type: Column, body: Column) -> Column:
     """``github``, ``feed`` or ``html``."""
     kind = F.coalesce(content_type, F.lit(""))
-    head = F.lower(F.substring(F.regexp_replace(body, f"^{WHITE}+", ""), 1, 200))
+    head = F.lower(F.substring(F.ltrim(body, F.lit(WHITE)), 1, 200))
     github = (netloc(url) == "api.github.com") & F.contains(url_path(url), F.lit("/releases"))
     feed = (
         kind.rlike("xml|rss|atom")
@@ -33,11 +34,10 @@ def route_payloads(payloads: DataFrame) -> DataFrame:
 
 def github_releases(payloads: DataFrame) -> DataFrame:
     """Releases that are no drafts, titled with their repository."""
-    releases = payloads.select(
-        "seq",
-        F.col("url").alias("endpoint"),
-        F.posexplode(F.from_json("body", GITHUB_RELEASES)).alias("pos", "release"),
-    ).where(~F.coalesce("release.draft", F.lit(False)))
+    parsed = payloads.select(
+        "seq", F.col("url").alias("endpoint"), computed_once(F.from_json("body", GITHUB_RELEASES)).alias("releases")
+    )
+    releases = parsed.select("seq", "endpoint", F.posexplode("releases").alias("pos", "release")).where(~F.coalesce("release.draft", F.lit(False)))
     label = F.coalesce(
         F.nullif("release.name", F.lit("")), F.nullif("release.tag_name", F.lit("")), F.lit("release")
     )
@@ -56,14 +56,15 @@ def github_releases(payloads: DataFrame) -> DataFrame:
 def feed_items(payloads: DataFrame) -> DataFrame:
     """RSS items of a feed, or its Atom entries if it has no item."""
     doc = F.from_xml("body", FEED_DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt"})
-    parsed = payloads.select("seq", F.col("url").alias("endpoint"), doc.alias("doc"))
+    parsed = payloads.select("seq", F.col("url").alias("endpoint"), computed_once(doc).alias("doc"))
 
     def all_of(kind: str) -> Column:
         filled = [F.coalesce(f"doc.{place}{kind}", F.array()) for place in ("channel.", "")]
         return F.concat(*filled)
 
     items = F.when(F.size(all_of("item")) > 0, all_of("item")).otherwise(all_of("entry"))
-    rows = parsed.select("seq", "endpoint", F.posexplode(items).alias("pos", "item"))
+    parsed = parsed.select("seq", "endpoint", computed_once(items).alias("items"))
+    rows = parsed.select("seq", "endpoint", F.posexplode("items").alias("pos", "item"))
     link = F.try_element_at("item.link", F.lit(1))
     rows = rows.select(
         "seq",
@@ -108,7 +109,7 @@ def payload_rejects(payloads: DataFrame) -> DataFrame:
         "body", FEED_DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt"}
     )["_corrupt"].isNotNull()
     reason = F.when(failed, "failed").when(bad_json, "bad_json").when(bad_xml, "bad_xml")
-    return routed.select("url", "route", reason.alias("reason")).where(F.col("reason").isNotNull())
+    return routed.select("url", "route", computed_once(reason).alias("reason")).where(F.col("reason").isNotNull())
 
 
 def scraped_articles(payloads: DataFrame) -> DataFrame:

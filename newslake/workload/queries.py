@@ -226,7 +226,8 @@ def parse_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         n % 4 == 1, F.concat("event_type", F.lit("-"), id_text)
     ).when(n % 4 == 2, F.concat(id_text, F.lit("-"), "event_type")).otherwise(id_text)
     return views.table(spark, sf_dir, "events").select(
-        "event_id", chunk_article(chunk).alias("article_id"), chunk_index(chunk).alias("chunk_index")
+        "event_id", chunk_article(chunk).alias("article_id"),
+        chunk_index(chunk).cast("string").alias("chunk_index"),
     )
 
 
@@ -268,7 +269,7 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(
         "doc_id",
         short.alias("short"),
-        F.when(short, F.size("pieces")).alias("pieces_if_short"),
+        F.when(short, F.size("pieces")).otherwise(0).alias("pieces_if_short"),
         F.forall("pieces", lambda p: F.length(p) <= MAX_CHARS).alias("all_fit"),
         F.forall("pieces", lambda p: F.contains("text", p)).alias("all_from_text"),
         F.startswith("text", first).alias("starts"),
