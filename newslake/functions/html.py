@@ -44,28 +44,38 @@ ENTITIES = {
     "&amp;": "&",
 }
 
-# Pattern and replacement, applied in order after boilerplate, comments and doctype are gone.
+# Stand-ins for a heading and a line break until white space has been tidied.
+_HEADING, _BREAK = "\ue000", "\ue001"
+
+# Pattern and replacement, applied in order after boilerplate, comments and doctype are gone. Patterns do not
+# open with a repeated white space class, which would be tried at every blank of the text.
+SPACE_LADDER = [
+    (r"[ \t\r\f]{2,}|[\t\r\f]", " "),
+    (r" ?\n\s*", "\n"),
+]
 MARKDOWN_LADDER = [
     (r"(?i)<img(?:\s[^>]*)?>", ""),
-    (r"[ \t\r\f]*\n\s*", "\n"),
-    (r"[ \t\r\f]+", " "),
-    *[(rf"(?is)<h{n}(?:\s[^>]*)?>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
-    (r"(?is)<(?:b|strong)(?:\s[^>]*)?>([^<]*)</(?:b|strong)\s*>", "**$1**"),
-    (r"(?is)<(?:i|em)(?:\s[^>]*)?>([^<]*)</(?:i|em)\s*>", "*$1*"),
-    (r"(?is)<code(?:\s[^>]*)?>([^<]*)</code\s*>", "`$1`"),
+    *SPACE_LADDER,
+    (r"(?i)<h([1-6])(?:\s[^>]*)?>\s*", f"\n\n{_HEADING}$1 "),
+    (r"(?i)</h[1-6]\s*>", "\n\n"),
+    *[(f"{_HEADING}{n}", "#" * n) for n in range(1, 7)],
+    (r"(?i)<(?:b|strong)(?:\s[^>]*)?>([^<]*)</(?:b|strong)\s*>", "**$1**"),
+    (r"(?i)<(?:i|em)(?:\s[^>]*)?>([^<]*)</(?:i|em)\s*>", "*$1*"),
+    (r"(?i)<code(?:\s[^>]*)?>([^<]*)</code\s*>", "`$1`"),
     (r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>\s*(.*?)\s*</a\s*>""", "[$2]($1)"),
-    (r"(?is)<blockquote(?:\s[^>]*)?>\s*(?:<p(?:\s[^>]*)?>)?\s*", "\n\n> "),
-    (r"(?is)<li(?:\s[^>]*)?>\s*", "\n* "),
-    (r"(?is)<hr(?:\s[^>]*)?>", "\n\n---\n\n"),
-    (r"(?is)<br(?:\s[^>]*)?/?>\s*", "  \n"),
+    (r"(?i)<blockquote(?:\s[^>]*)?>\s*(?:<p(?:\s[^>]*)?>)?\s*", "\n\n> "),
+    (r"(?i)<li(?:\s[^>]*)?>\s*", "\n* "),
+    (r"(?i)<hr(?:\s[^>]*)?/?>", "\n\n---\n\n"),
+    (r"(?i)<br(?:\s[^>]*)?/?>\s*", _BREAK),
     (
-        r"(?is)\s*</?(?:p|div|article|section|main|body|html|ul|ol|dl|table|pre|blockquote|figure)"
-        r"(?:\s[^>]*)?>\s*",
+        r"(?i)</?(?:p|div|article|section|main|body|html|ul|ol|dl|table|pre|blockquote|figure)(?:\s[^>]*)?/?>",
         "\n\n",
     ),
-    (r"(?is)</?tr(?:\s[^>]*)?>", "\n"),
-    (r"(?is)</?t[dh](?:\s[^>]*)?>", " "),
-    (r"(?s)<[^>]*>", ""),
+    (r"(?i)</?tr(?:\s[^>]*)?>", "\n"),
+    (r"(?i)</?t[dh](?:\s[^>]*)?>", " "),
+    (r"<[^>]*>", ""),
+    (r" *\n *", "\n"),
+    (_BREAK, "  \n"),
 ]
 
 
@@ -162,12 +172,17 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html_lib.unescape(t))
 
 
+def _has_markup(page: Column) -> Column:
+    return F.contains(page, F.lit("<"))
+
+
 def strip_tag_pairs(page: Column) -> Column:
-    """Boilerplate elements removed as open/close pairs; scripts go first, they may hold markup."""
-    page = F.regexp_replace(page, _COMMENT, "")
-    for tag in sorted(BOILERPLATE_TAGS, key=lambda t: t not in ("script", "style", "noscript")):
-        page = F.regexp_replace(page, _pair(tag), "")
-    return page
+    """Boilerplate elements removed as open/close pairs; comments and scripts go first, they may hold markup."""
+    raw = ("script", "style", "noscript")
+    rest = "|".join(t for t in BOILERPLATE_TAGS if t not in raw)
+    cut = F.regexp_replace(page, rf"{_COMMENT}|(?is)<({'|'.join(raw)})(?:\s[^>]*)?>.*?</\1\s*>", "")
+    cut = F.regexp_replace(cut, rf"(?is)<({rest})(?:\s[^>]*)?>.*?</\1\s*>", "")
+    return F.when(_has_markup(page), cut).otherwise(page)
 
 
 def with_boilerplate_cut(df: DataFrame, page: str, out: str) -> DataFrame:
@@ -176,7 +191,7 @@ def with_boilerplate_cut(df: DataFrame, page: str, out: str) -> DataFrame:
     Done in named steps, so that each regular expression runs once per row.
     """
     plain = F.col("_plain")
-    odd = plain.rlike(_LEFT_OVER) | plain.rlike(_MARKED)
+    odd = _has_markup(plain) & (plain.rlike(_LEFT_OVER) | plain.rlike(_MARKED))
     return (
         df.withColumn("_plain", computed_once(strip_tag_pairs(F.col(page))))
         .withColumn("_cut", _cut_boilerplate(F.when(odd, F.regexp_replace(page, _COMMENT, ""))))
@@ -199,18 +214,27 @@ def _escape_marks(page: Column) -> Column:
     return F.when(page.rlike("[*_]"), F.array_join(escaped, "<")).otherwise(page)
 
 
-def markup_ladder(page: Column) -> Column:
-    """The ladder alone, for markup without boilerplate; character references stay."""
-    text = F.regexp_replace(_escape_marks(page), r"(?is)<!doctype[^>]*>", "")
-    for pattern, replacement in MARKDOWN_LADDER:
+def _climb(text: Column, ladder: list[tuple[str, str]]) -> Column:
+    for pattern, replacement in ladder:
         text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
+def markup_ladder(page: Column) -> Column:
+    """The ladder alone, for markup without boilerplate; character references stay.
+
+    Text without any tag only needs its white space tidied.
+    """
+    marked = _escape_marks(page)
+    tagged = _climb(F.regexp_replace(marked, r"(?i)<!doctype[^>]*>", ""), MARKDOWN_LADDER)
+    return F.when(_has_markup(page), tagged).otherwise(_climb(marked, SPACE_LADDER))
+
+
 def _decode_short(text: Column) -> Column:
+    plain = text
     for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
 def with_entities_decoded(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from newslake.functions.once import computed_once
 from newslake.functions.vectors import DIMS, dot, term_cells, terms, unit, weigh_terms
 
 
@@ -39,7 +40,7 @@ def vectorise(texts: DataFrame, idf: DataFrame, text: str = "content", dims: int
     weights = [0.0] * dims
     for row in idf.select("dim", "idf").collect():
         weights[row["dim"]] = row["idf"]
-    return texts.withColumn("embedding", weigh_terms(terms(F.col(text)), weights))
+    return texts.withColumn("embedding", computed_once(weigh_terms(terms(F.col(text)), weights)))
 
 
 def sparse_terms(vectors: DataFrame, id_column: str) -> DataFrame:

@@ -16,6 +16,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """One task per core for a table that arrives in fewer splits than there are cores.
+
+    Text work is bound by the processor, so a small table in one file would keep one core busy. A table
+    with enough splits, as any large one, passes unchanged and unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def work_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and stream state.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newslake.functions.tags import detect_tags
 from newslake.functions.text import article_id
 from newslake.schemas import article_columns
-from newslake.session import prepare
+from newslake.session import prepare, spread
 
 # Words that are frequent in the generated prose, as a second tag dictionary.
 PROSE_KEYWORDS = {
@@ -20,8 +20,12 @@ PAGE_SPAN = 400  # documents per landed page: numbers of one page lie within thi
 FEED_SPAN = 100
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
 def as_articles(documents: DataFrame) -> DataFrame:
