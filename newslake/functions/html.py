@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from newslake.functions.once import computed_once
 from newslake.functions.text import strip
@@ -162,12 +163,12 @@ def cut_boilerplate(page: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut_boilerplate(pages: pd.Series) -> pd.Series:
     return pages.map(cut_boilerplate)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html_lib.unescape(t))
 

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}  # per local application
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on. Sizes and parallelism stay the cluster's own."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -37,9 +40,10 @@ def work_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    named = tempfile.mkdtemp(prefix="newslake-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="newslake-")
+    return _LOCAL_ROOTS[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
