@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions.dates import iso_or_empty
+from newslake.functions.once import computed_once
 from newslake.functions.text import (
     CARD_SNIPPET_CHARS,
     CHAT_ANSWER_CHARS,
@@ -58,7 +59,7 @@ def combine_context(*parts: DataFrame) -> DataFrame:
 
 
 def build_cards(items: DataFrame) -> DataFrame:
-    """One card per context item. Snippets are cut here, so no later shuffle carries whole contents."""
+    """One card per context item, as rows."""
     indexed = F.col("group_no") <= ENRICHED
     return items.select(
         "question_id",
@@ -73,68 +74,82 @@ def build_cards(items: DataFrame) -> DataFrame:
     )
 
 
-def _in_order(fields: list[str | Column]) -> Column:
-    """Items of a question as an array in context order. The k of each source bounds its length."""
-    return F.array_sort(F.collect_list(F.struct("group_no", "pos", *fields)))
+def gather_items(items: DataFrame) -> DataFrame:
+    """``(question_id, items)``: the items of a question as an array in context order.
 
+    Contents are cut to their prompt length before the shuffle, and the k of each source bounds the array.
+    """
+    opening = head(F.col("content"), PROMPT_CONTENT_CHARS).alias("content")
+    item = F.struct("group_no", "pos", "title", "source", "date", opening, "url", "tags")
+    return items.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
-def prompt_context(items: DataFrame) -> DataFrame:
-    """Context text per question, from contents cut to their prompt length before they are gathered."""
-    text = lambda name: F.coalesce(name, F.lit("")).alias(name)
-    cut = head(F.coalesce("content", F.lit("")), PROMPT_CONTENT_CHARS).alias("content")
-    gathered = items.groupBy("question_id").agg(
-        _in_order([text("title"), text("source"), text("date"), cut, text("url")]).alias("items")
-    )
 
+def _context_text(items: Column) -> Column:
+    """Numbered sections of one gathered array."""
     def lines(kept: Column, mark: str, with_url: bool) -> Column:
         def line(x: Column, i: Column) -> Column:
-            parts = [F.lit(f"[{mark}"), (i + 1).cast("string"), F.lit("] "), x["title"], F.lit(" — "),
-                     x["source"], F.lit(" ("), x["date"], F.lit(")\n"), x["content"]]
+            t = {name: F.coalesce(x[name], F.lit("")) for name in ("title", "source", "date", "content", "url")}
+            parts = [F.lit(f"[{mark}"), (i + 1).cast("string"), F.lit("] "), t["title"], F.lit(" — "),
+                     t["source"], F.lit(" ("), t["date"], F.lit(")\n"), t["content"]]
             if with_url:
-                parts += [F.lit("\n"), x["url"]]
+                parts += [F.lit("\n"), t["url"]]
             return F.concat(*parts)
 
         return F.transform(kept, line)
 
-    indexed = F.filter("items", lambda x: x["group_no"] <= ENRICHED)
-    fresh = F.filter("items", lambda x: x["group_no"] > ENRICHED)
     none = F.array().cast("array<string>")
-    parts = F.concat(
-        F.when(F.size(indexed) > 0, F.array(F.lit(INDEX_SECTION))).otherwise(none),
-        lines(indexed, "", False),
-        F.when(F.size(fresh) > 0, F.array(F.lit(FRESH_SECTION))).otherwise(none),
-        lines(fresh, "F", True),
-    )
-    return gathered.select("question_id", F.array_join(parts, "\n\n").alias("context"))
+
+    def section(kept: Column, title: str, mark: str, with_url: bool) -> Column:
+        return F.when(F.size(kept) > 0, F.concat(F.array(F.lit(title)), lines(kept, mark, with_url))).otherwise(none)
+
+    indexed = F.filter(items, lambda x: x["group_no"] <= ENRICHED)
+    fresh = F.filter(items, lambda x: x["group_no"] > ENRICHED)
+    parts = F.concat(section(indexed, INDEX_SECTION, "", False), section(fresh, FRESH_SECTION, "F", True))
+    return F.array_join(parts, "\n\n")
 
 
-def prompt_payload(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``(question_id, payload)``: the JSON message for every question, with or without sources."""
-    joined = questions.select("question_id", "question", "topics").join(contexts, "question_id", "left")
-    message = F.struct("question", "topics", F.coalesce("context", F.lit(NO_SOURCE)).alias("context"))
-    return joined.select("question_id", F.to_json(message).alias("payload"))
+def prompt_context(items: DataFrame) -> DataFrame:
+    """Context text per question."""
+    return gather_items(items).select("question_id", _context_text(F.col("items")).alias("context"))
 
 
-def card_lists(cards: DataFrame) -> DataFrame:
-    """``(question_id, n_cards, cards, trending)``: cards in context order and their frequent tags.
+def card_lists(items: DataFrame) -> DataFrame:
+    """``(question_id, n_cards, cards, trending, context)`` from one shuffle of the items.
 
-    The tag counts come from the gathered cards themselves, so they cost no further shuffle.
+    Cards are in context order. The tag counts come from the gathered cards themselves.
     """
-    fields = ["title", "source", "date", "snippet", "url", "tags"]
-    lists = cards.groupBy("question_id").agg(_in_order(fields).alias("_items"))
-    tags = F.flatten(F.transform("_items", lambda x: x["tags"]))
+    def card(x: Column) -> Column:
+        source = F.when(x["group_no"] <= ENRICHED, INDEX_SOURCE).otherwise(FRESH_SOURCE)
+        return F.struct(
+            F.coalesce(x["title"], F.lit(INDEX_TITLE)).alias("title"),
+            F.coalesce(x["source"], source).alias("source"),
+            x["date"].alias("date"),
+            head(F.coalesce(x["content"], F.lit("")), CARD_SNIPPET_CHARS).alias("snippet"),
+            F.coalesce(x["url"], F.lit("")).alias("url"),
+            F.coalesce(x["tags"], F.array().cast("array<string>")).alias("tags"),
+        )
+
+    lists = gather_items(items).withColumns({
+        "cards": computed_once(F.transform("items", card)),
+        "_tags": computed_once(F.flatten(F.filter(F.transform("items", lambda x: x["tags"]), lambda t: t.isNotNull()))),
+    })
     frequent = F.filter(
         F.array_distinct("_tags"), lambda t: F.size(F.filter("_tags", lambda u: u == t)) >= TRENDING_FROM
     )
-    bare = F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return lists.withColumn("_tags", tags).select(
-        "question_id", F.size("_items").alias("n_cards"), bare.alias("cards"),
-        F.array_sort(frequent).alias("trending"),
+    return lists.select(
+        "question_id", F.size("items").alias("n_cards"), "cards", F.array_sort(frequent).alias("trending"),
+        _context_text(F.col("items")).alias("context"),
     )
 
 
+def prompt_payload(question: Column, topics: Column, context: Column) -> Column:
+    """The JSON message for a question, with or without sources."""
+    shown = F.coalesce(context, F.lit(NO_SOURCE))
+    return F.to_json(F.struct(question.alias("question"), topics.alias("topics"), shown.alias("context")))
+
+
 def compose_responses(questions: DataFrame, lists: DataFrame) -> DataFrame:
-    """``(question_id, status, answer, cards, trending)``.
+    """``(question_id, status, answer, n_cards, cards, trending, payload)``.
 
     ``questions`` has ``llm_configured`` and ``raw_answer`` (null when the call failed). A failed call
     still has status ok; only a missing configuration degrades.
@@ -150,9 +165,11 @@ def compose_responses(questions: DataFrame, lists: DataFrame) -> DataFrame:
         .otherwise(extract_answer(F.col("raw_answer")))
     )
     none = F.array()
+    topics = F.col("topics") if "topics" in questions.columns else none.cast("array<string>")
     return joined.select(
         "question_id", status.alias("status"), answer.alias("answer"), n.alias("n_cards"),
         F.coalesce("cards", none).alias("cards"), F.coalesce("trending", none).alias("trending"),
+        prompt_payload(F.col("question"), topics, F.col("context")).alias("payload"),
     )
 
 

@@ -19,7 +19,7 @@ from newslake.operators.ranking import first_per_group
 
 DISTANCE_DIGITS = 6
 MAX_BROADCAST_QUESTIONS = 20_000  # 61 MB of doubles at 384 dimensions
-QUESTION_BLOCK = 4096
+QUESTION_BLOCK = 16_384
 CHUNK_BLOCK = 16_384
 TILE = 2048
 

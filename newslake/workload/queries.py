@@ -394,7 +394,7 @@ def build_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def card_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = context.card_lists(context.build_cards(_items(spark, sf_dir)))
+    lists = context.card_lists(_items(spark, sf_dir))
     return lists.select(
         "question_id", "n_cards",
         F.array_join(F.transform("cards", lambda c: F.concat(c["title"], F.lit("|"), c["snippet"])), "\n").alias("snippets"),
@@ -453,7 +453,7 @@ def _answer_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     items = answer.question_context(
         questions, vectors, views.chunk_vectors(spark, sf_dir), materialise(news, "news"), materialise(stories, "stories")
     )
-    return questions, materialise(items, "items")
+    return questions, items
 
 
 def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,7 +476,7 @@ def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 7 != 0).alias("llm_configured"),
         F.when(n % 5 != 0, F.concat(F.lit(" "), "title", F.lit("\n"))).alias("raw_answer"),
     )
-    lists = context.card_lists(context.build_cards(_items(spark, sf_dir)))
+    lists = context.card_lists(_items(spark, sf_dir))
     asked = questions.withColumnRenamed("question_id", "topic").withColumn("question_id", F.col("no").cast("string"))
     per_question = lists.withColumnRenamed("question_id", "topic").join(asked.select("topic", "question_id"), "topic").drop("topic")
     out = context.compose_responses(asked, per_question)

@@ -30,7 +30,7 @@ def items(spark):
 
 
 def test_cards(spark):
-    lists = {r["question_id"]: r for r in context.card_lists(context.build_cards(items(spark))).collect()}
+    lists = {r["question_id"]: r for r in context.card_lists(items(spark)).collect()}
     cards = lists["q"]["cards"]
     assert [c["title"] for c in cards] == ["First", "Second", "Sans titre", "News", "Q: x"]
     assert [c["source"] for c in cards] == ["s1", "s2", "interne", "n", "newsapi"]

@@ -26,7 +26,8 @@ def test_fresh_articles_once_and_late_ones_dropped(spark, tmp_path):
     path = write_files(spark, tmp_path / "in", [
         [("a", day(0), "x"), ("b", day(1), "x"), ("a", day(0, 1), "x")],
         [("a", day(2), "x"), ("c", day(20), "x")],
-        # The watermark now stands at day 13: d is too old, e is in time, a may come again.
+        [("c", day(20, 1), "x")],
+        # The watermark stands at day 13 and has been applied: d is too old, e is in time, a may come again.
         [("d", day(5), "x"), ("e", day(14), "x"), ("a", day(21), "x")],
     ])
     schema = spark.read.parquet(path).schema
