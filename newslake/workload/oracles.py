@@ -250,6 +250,46 @@ WINDOWS = """windows AS (
   FROM (SELECT doc_id, text, CAST(unnest(range(CAST(ceil(greatest(length(text) - 1200, 0) / 1080.0) AS BIGINT) + 1)) AS INT) AS i
         FROM documents WHERE length(text) > 0))"""
 
+def recursive_chunks(source: str, key: str) -> str:
+    """``pieces(key, chunk_index, content)``: the recursive chunker over ``source(key, body)``.
+
+    ``split`` cuts a piece of 1200 characters or more at the first separator it holds; ``run`` numbers the
+    stretches of small pieces between large ones; ``pack`` walks each stretch with a window ``lo .. pos - 1``.
+    """
+    separators = "[chr(10)||chr(10), chr(10), '. ', '! ', '? ', ' ', '']"
+    return f"""texts AS (SELECT {key}, {strip('body')} AS body FROM {source}),
+split({key}, path, run, piece, lvl) AS (
+  SELECT {key}, CAST([] AS INT[]), CAST([] AS INT[]), body, 1 FROM texts WHERE length(body) > 1200
+  UNION ALL
+  SELECT {key}, list_append(path, CAST(i AS INT)),
+    list_append(path, CAST(len(list_filter(parts[1:i - 1], lambda q: length(q) >= 1200)) AS INT)), parts[i], lvl + 1
+  FROM (SELECT {key}, path, parts, lvl, unnest(range(1, len(parts) + 1)) AS i FROM (
+    SELECT {key}, path, lvl, list_filter(CASE WHEN sep = '' THEN string_split(piece, '') ELSE
+        list_transform(string_split(piece, sep), lambda q, n: CASE WHEN n < len(string_split(piece, sep)) THEN q || sep ELSE q END) END,
+        lambda q: q <> '') AS parts
+    FROM (SELECT {key}, path, piece, lvl, ({separators})[lvl] AS sep FROM (
+      SELECT {key}, path, piece, list_filter(range(lvl, 8), lambda n: contains(piece, ({separators})[n]))[1] AS lvl
+      FROM split WHERE length(piece) >= 1200))))),
+runs AS (
+  SELECT *, row_number() OVER () AS no, list_transform(range(1, len(parts) + 2), lambda n: coalesce(CAST(list_sum(sizes[1:n - 1]) AS BIGINT), 0)) AS ends
+  FROM (SELECT {key}, run, min(path) AS place, list(piece ORDER BY path) AS parts, list(length(piece) ORDER BY path) AS sizes
+        FROM split WHERE length(piece) < 1200 GROUP BY {key}, run)),
+pack(no, pos, lo, chunk) AS (
+  SELECT no, CAST(2 AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS VARCHAR) FROM runs
+  UNION ALL
+  SELECT no, pos + 1,
+    CASE WHEN ends[pos + 1] - ends[lo] > 1200 THEN list_filter(range(lo, pos + 1), lambda n: ends[pos] - ends[n] <= 120
+      AND (n = pos OR ends[pos + 1] - ends[n] <= 1200))[1] ELSE lo END,
+    CASE WHEN ends[pos + 1] - ends[lo] > 1200 THEN array_to_string(parts[lo:pos - 1], '') END
+  FROM pack JOIN runs USING (no) WHERE pos <= len(parts)),
+pieces AS (
+  SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY place, pos) - 1 AS INT) AS chunk_index, content FROM (
+    SELECT {key}, place, pos, {strip('chunk')} AS content FROM pack JOIN runs USING (no) WHERE chunk IS NOT NULL
+    UNION ALL SELECT {key}, place, pos + 1, {strip("array_to_string(parts[lo:], '')")} FROM pack JOIN runs USING (no) WHERE pos = len(parts) + 1)
+  WHERE content <> ''
+  UNION ALL SELECT {key}, 0, body FROM texts WHERE length(body) BETWEEN 1 AND 1200)"""
+
+
 BROKEN = DOCS + ", " + GITHUB + """, every AS (
   SELECT endpoint AS url, 'github' AS route, min(seq) AS seq FROM github GROUP BY endpoint
   UNION ALL SELECT 'https://www.' || source || '.example.org/feed/' || doc_id // 100, 'feed', min(doc_id) FROM docs
@@ -326,6 +366,19 @@ SELECT question_id, {STATUS} AS status, {ANSWER} AS answer, CAST(n AS INT) AS n_
   WHERE date > (SELECT max(date) FROM docs) - INTERVAL 8 DAY""",
     "export_documents": f"""WITH {DOCS} SELECT content AS page_content, title, source, CASE WHEN doc_id % 3 <> 0 THEN {ISO} ELSE '' END AS date,
   url, source || ',' || lang AS tags, 'online' AS type FROM docs""",
+    "chunk_documents": f"""WITH RECURSIVE source AS (SELECT doc_id, text AS body FROM documents), {recursive_chunks('source', 'doc_id')}
+SELECT doc_id, chunk_index, content FROM pieces""",
+    "page_answers": f"""WITH RECURSIVE {PAGES}, source AS (SELECT page_id, content AS body FROM page_rows WHERE url <> ''),
+{recursive_chunks('source', 'page_id')},
+records AS (SELECT md5(url) || '-' || chunk_index AS chunk_id, p.content, title, source, url,
+    {tag_list("lower(r.content || ' ' || title)", TAG_KEYWORDS)} AS tags FROM pieces p JOIN page_rows r USING (page_id)),
+{counts('ctf', 'records', 'chunk_id', 'content')}, {idf('ctf', 'records', 'chunk_id')}, {weights('cw', 'ctf', 'chunk_id')},
+asked AS (SELECT 'b' || item_id AS question_id, text FROM benchmark),
+{counts('qtf', 'asked', 'question_id', 'text')}, {weights('qw', 'qtf', 'question_id')},
+scored AS (SELECT question_id, chunk_id, round(1 - sum(qw.weight * cw.weight), 6) + 0.0 AS distance FROM qw JOIN cw USING (dim) GROUP BY ALL),
+hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank FROM scored)
+SELECT question_id, 0 AS group_no, CAST(rank AS INT) AS pos, title, source, '' AS date, substr(content, 1, 280) AS snippet, url, tags
+FROM hits JOIN records USING (chunk_id) WHERE rank <= 8""",
     "chunk_coverage": """SELECT doc_id, length(text) <= 1200 AS short, CASE WHEN length(text) <= 1200 THEN 1 ELSE 0 END AS pieces_if_short,
   TRUE AS all_fit, TRUE AS all_from_text, TRUE AS starts, TRUE AS ends, TRUE AS covers FROM documents""",
     "chunk_fixed": f"WITH {WINDOWS} SELECT doc_id, chunk_index, content FROM windows",
