@@ -258,18 +258,18 @@ def with_markdown(df: DataFrame, page: str, out: str) -> DataFrame:
     return df.withColumn(out, computed_once(tidy)).drop("_body", "_marked_up", "_decoded")
 
 
-def inner_text(markup: Column) -> Column:
-    """Text of a fragment: every text run is stripped, then all are joined without a separator."""
-    return strip(_decode_short(F.regexp_replace(markup, r"\s*<[^>]*>\s*", "")))
+def with_page_title(df: DataFrame, page: str, url: str, out: str) -> DataFrame:
+    """Add ``out``: text of the first h1, else of the first title, else the url.
 
-
-def page_title(page: Column, url: Column) -> Column:
-    """Text of the first h1, else of the first title, else the url."""
-    page = F.regexp_replace(page, _COMMENT, "")
-    page = F.regexp_replace(page, _pair("script"), "")
+    Text runs of the element are stripped and joined without a separator.
+    """
     h1 = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
     title = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
-    found = F.when(page.rlike(h1), F.regexp_extract(page, h1, 1)).when(
-        page.rlike(title), F.regexp_extract(page, title, 1)
+    shown = F.col("_shown")
+    found = F.when(shown.rlike(h1), F.regexp_extract(shown, h1, 1)).when(
+        shown.rlike(title), F.regexp_extract(shown, title, 1)
     )
-    return F.coalesce(inner_text(found), url)
+    df = df.withColumn("_shown", computed_once(F.regexp_replace(page, rf"{_COMMENT}|{_pair('script')}", "")))
+    df = df.withColumn("_runs", computed_once(F.regexp_replace(found, r"\s*<[^>]*>\s*", "")))
+    df = with_entities_decoded(df, "_runs", "_text")
+    return df.withColumn(out, F.coalesce(strip(F.col("_text")), url)).drop("_shown", "_runs", "_text")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.functions.dates import normalise_date
-from newslake.functions.html import page_title, with_markdown
+from newslake.functions.html import with_markdown, with_page_title
 from newslake.functions.once import computed_once
 from newslake.functions.text import WHITE, first_filled, netloc, repo_name, source_host, strip, url_path
 from newslake.schemas import FEED_DOCUMENT, GITHUB_RELEASES
@@ -88,11 +88,12 @@ def feed_items(payloads: DataFrame) -> DataFrame:
 def html_pages(pages: DataFrame, body: str = "body") -> DataFrame:
     """One article per page: title, Markdown content, host as source, no date."""
     rows = pages.select("seq", "url", F.col(body).alias("_html"))
-    return with_markdown(rows, "_html", "content").select(
+    rows = with_page_title(with_markdown(rows, "_html", "content"), "_html", "url", "title")
+    return rows.select(
         "seq",
         F.col("url").alias("endpoint"),
         F.lit(0).alias("pos"),
-        page_title(F.col("_html"), F.col("url")).alias("title"),
+        "title",
         "url",
         "content",
         source_host(F.col("url")).alias("source"),

@@ -36,8 +36,9 @@ def cut_pairs(e: str) -> str:
 
 
 def decoded(e: str) -> str:
+    """References decoded; the old names also count without their semicolon."""
     for name, char in ENTITIES.items():
-        e = f"replace({e}, {text(name)}, {text(char)})"
+        e = f"regexp_replace({e}, {text(name if name == '&apos;' else name + '?')}, {text(char)}, 'g')"
     return e
 
 

@@ -264,7 +264,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for the chunks of every text, whole texts compared."""
     texts = views.table(spark, sf_dir, "documents").withColumn("pieces", chunking.chunk_text(F.col("text")))
-    first, last = F.element_at("pieces", 1), F.element_at("pieces", -1)
+    first, last = F.try_element_at("pieces", F.lit(1)), F.try_element_at("pieces", F.lit(-1))
     short = F.length("text") <= MAX_CHARS
     return texts.select(
         "doc_id",

@@ -1,9 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
-
-from newslake.functions.html import cut_boilerplate, page_title, with_boilerplate_cut, with_markdown
+from newslake.functions.html import cut_boilerplate, with_boilerplate_cut, with_markdown, with_page_title
 
 
 def markdown(spark, *pages):
@@ -86,8 +84,9 @@ def test_titles(spark):
         "<title>T</title><h1> A <b>b</b> </h1><h1>C</h1>",
         "<title> T &amp; U</title>",
         "<p>none</p>",
+        "<H1 class='x'>R&amp;D &eacute;&amp</H1>",
         "<!--<h1>no</h1>--><script>'<h1>x</h1>'</script><h1></h1>",
     ]
-    rows = spark.createDataFrame(list(enumerate(pages)), "i INT, page STRING").orderBy("i")
-    got = [r[0] for r in rows.select(page_title(F.col("page"), F.lit("u"))).collect()]
-    assert got == ["Ab", "T & U", "u", ""]
+    rows = spark.createDataFrame([(i, p, "u") for i, p in enumerate(pages)], "i INT, page STRING, url STRING")
+    got = [r["title"] for r in with_page_title(rows, "page", "url", "title").orderBy("i").collect()]
+    assert got == ["Ab", "T & U", "u", "R&D é&", ""]
