@@ -19,6 +19,7 @@ from newslake.operators.ranking import first_per_group
 
 DISTANCE_DIGITS = 6
 MAX_BROADCAST_QUESTIONS = 20_000  # 61 MB of doubles at 384 dimensions
+MAX_BROADCAST_BYTES = 128 << 20  # for wider vectors
 QUESTION_BLOCK = 16_384
 CHUNK_BLOCK = 16_384
 TILE = 2048
@@ -136,13 +137,13 @@ def top_k(
 ) -> DataFrame:
     """``(question_id, rank, chunk_id, distance)``: the exact ``k`` nearest chunks of every question.
 
-    Up to ``max_broadcast`` questions (read with that limit) are sent to the tasks that scan the chunks, and
+    Up to ``max_broadcast`` questions (read with that limit, and checked for bytes) are sent to the tasks that scan the chunks, and
     the chunk side is never shuffled. More questions are cut into blocks that meet blocks of chunks.
     """
     questions, chunks = _narrow(questions, "question_id"), _narrow(chunks, "chunk_id")
     ddl, schema = _result_schema(questions, chunks)
     head = questions.limit(max_broadcast + 1).toArrow()
-    if head.num_rows > max_broadcast:
+    if head.num_rows > max_broadcast or head.nbytes > MAX_BROADCAST_BYTES:
         return _ranked(_by_blocks(questions, chunks, k, question_block, chunk_block), k)
     head = _filled(head)
     sent = chunks.sparkSession.sparkContext.broadcast((_ids(head["question_id"]), _matrix(head["embedding"])))

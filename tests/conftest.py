@@ -22,7 +22,7 @@ def spark() -> SparkSession:
     session = (
         SparkSession.builder.master("local[4]")
         .appName("newslake-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
