@@ -11,7 +11,7 @@ from newslake.operators.chunking import chunk_records
 from newslake.operators.ranking import first_per_group
 from newslake.operators.vectorise import fit_idf
 from newslake.sources.gate import ingest_gate
-from newslake.sources.scraped import feed_items, html_pages
+from newslake.sources.scraped import feed_items, html_pages, scraped_articles
 from newslake.workload import views
 
 
@@ -59,3 +59,10 @@ def test_idf_moves_counts_only(spark):
     text = plan(fit_idf(texts))
     shuffled = text[: text.index("MapInArrow")]
     assert text.count("Exchange") == 1 and "partial_sum" in shuffled and "content" not in shuffled
+
+
+def test_payload_routes_share_one_scan(spark, tmp_path):
+    landed = spark.createDataFrame([(1, "https://x.example", 200, "", "<p>a</p>")], "seq INT, url STRING, http_status INT, content_type STRING, body STRING")
+    landed.write.parquet(str(tmp_path / "landed"))
+    text = plan(scraped_articles(spark.read.parquet(str(tmp_path / "landed"))))
+    assert [text.count(part) for part in ("FileScan", "from_xml(", "from_json(", "<blockquote")] == [1, 1, 1, 1]
