@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from newslake.llm import line_frequency
+from newslake.llm import decontaminate, line_frequency
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
+    "op3_decontamination": decontaminate.op3_decontamination,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.SQL,
+    "op3_decontamination": decontaminate.SQL,
 }
