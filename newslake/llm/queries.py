@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from newslake.llm import decontaminate, line_frequency
+from newslake.llm import decontaminate, line_frequency, near_dedup
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.SQL,
     "op3_decontamination": decontaminate.SQL,
+    "op7_near_dedup": near_dedup.SQL,
 }
