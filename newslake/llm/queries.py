@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from newslake.llm import decontaminate, line_frequency, near_dedup
+from newslake.llm import decontaminate, line_frequency, near_dedup, sentencepiece_prefix
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op6_sentencepiece": sentencepiece_prefix.op6_sentencepiece,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.SQL,
