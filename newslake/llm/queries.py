@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from newslake.llm import decontaminate, line_frequency, near_dedup, sentencepiece_prefix, url_filter
+from newslake.llm import (
+    decontaminate,
+    line_frequency,
+    line_templates,
+    near_dedup,
+    sentencepiece_prefix,
+    url_filter,
+)
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op6_sentencepiece": sentencepiece_prefix.op6_sentencepiece,
+    "op9_line_templates": line_templates.op9_line_templates,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.SQL,
     "op3_decontamination": decontaminate.SQL,
     "op7_near_dedup": near_dedup.SQL,
+    "op9_line_templates": line_templates.SQL,
     "op10_url_filter": url_filter.SQL,
 }
