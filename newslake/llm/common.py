@@ -50,3 +50,9 @@ def sha256_hex(c: Column) -> Column:
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def without_lines(lines: str, dropped: str) -> Column:
+    """The text of the array column ``lines`` without the positions in ``dropped``; work linear in the lines."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")

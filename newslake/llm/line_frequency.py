@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.functions.once import computed_once
-from newslake.llm.common import BLANKS, KEY, UPPER, blank_words, table, with_row_key, without
+from newslake.llm.common import BLANKS, KEY, UPPER, blank_words, table, with_row_key, without, without_lines
 from newslake.session import materialise
 
 SYMBOLS = "#*$%&|<>"
@@ -102,7 +102,7 @@ def line_frequency(
     line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """``docs`` with the base counts, ``n_boilerplate_words`` and ``kept``."""
+    """``docs`` with the base counts, ``n_boilerplate_words``, ``kept`` and ``clean_text``, the text without those lines."""
     keyed = with_row_key(docs, doc_id, text, host)
     lines = materialise(host_lines(keyed, host, text, doc_id), "lines")
     sizes = keyed.groupBy(F.coalesce(F.col(host), F.lit("\0")).alias("host")).agg(
@@ -122,10 +122,20 @@ def line_frequency(
         .where((F.col("first._k1") != F.col("_k1")) | (F.col("first._k2") != F.col("_k2")))
     )
     # Repeated rows share a key and must not add up.
-    gone = removed.select(*KEY, "pos", "n").distinct().groupBy(*KEY).agg(F.sum("n").alias("n_boilerplate_words"))
+    gone = (
+        removed.select(*KEY, "pos", "n").distinct().groupBy(*KEY)
+        .agg(F.sum("n").alias("n_boilerplate_words"), F.collect_list("pos").alias("_gone"))
+    )
     judged = base_counts(keyed, text).join(gone, KEY, "left").fillna(0, ["n_boilerplate_words"])
     left = F.col("n_words") - F.col("n_boilerplate_words")
-    return judged.withColumn("kept", ~F.col("base_failed") & (left >= left_share * F.col("n_words"))).drop(*KEY)
+    judged = judged.select("*", computed_once(F.split(text, "\n")).alias("_split"))
+    shortened = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines("_split", "_gone"))
+    return judged.select(
+        *docs.columns,
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words", "base_failed",
+        (~F.col("base_failed") & (left >= left_share * F.col("n_words"))).alias("kept"),
+        shortened.alias("clean_text"),
+    )
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

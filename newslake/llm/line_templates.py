@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.functions.once import computed_once
-from newslake.llm.common import KEY, table, with_row_key
+from newslake.llm.common import KEY, table, with_row_key, without_lines
 from newslake.session import materialise
 
 DEPTH = 3  # leading tokens of a leaf
@@ -97,10 +97,8 @@ def drop_recurring_lines(
     keyed = with_row_key(docs, doc_id, text)
     dropped = recurring_lines(keyed, doc_id, text, min_docs, constant_share)
     joined = keyed.join(dropped, KEY, "left")
-    split = F.split(text, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("dropped"))
-    shortened = F.array_join(F.transform(left, lambda i: F.get("_split", i)), "\n")
-    joined = joined.select("*", computed_once(split).alias("_split"))
+    joined = joined.select("*", computed_once(F.split(text, "\n")).alias("_split"))
+    shortened = without_lines("_split", "dropped")
     return joined.select(
         *[
             F.when(F.col("dropped").isNull(), F.col(c)).otherwise(shortened).alias(c) if c == text else c

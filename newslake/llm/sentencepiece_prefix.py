@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import sentencepiece
@@ -75,7 +76,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.whole: dict[int, bool] = {}  # pieces that are their own encoding
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes, bytes]] = {}
         self.split = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
 
     def merged(self, text: str) -> list[str]:
@@ -153,50 +154,63 @@ class PrefixEncoder:
         """Bytes of the ids, before the mark that encoding puts in front is taken off."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def run(self, run: str) -> tuple[str, bytes]:
-        """Ids of a run joined by commas, and its decoded bytes."""
+    def run(self, run: str) -> tuple[str, bytes, bytes]:
+        """Ids of a run joined by commas, its decoded bytes, and the ids as 32-bit integers."""
         found = self.known.get(run)
         if found is None:
             ids = self.encode_run(run)
-            found = ",".join(map(str, ids)), self.decode_ids(ids)
+            found = ",".join(map(str, ids)), self.decode_ids(ids), np.array(ids, np.int32).tobytes()
             if len(run) <= LONG_RUN:
                 if len(self.known) >= REMEMBERED_RUNS:
                     self.known.clear()
                 self.known[run] = found
         return found
 
-    def runs(self, text: str) -> list[tuple[str, bytes]]:
+    def runs(self, text: str) -> list[tuple[str, bytes, bytes]]:
         return list(map(self.run, self.split(MARK + text.replace(" ", MARK)))) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.runs(text) for i in ids.split(",")]
+        return np.frombuffer(b"".join([r[2] for r in self.runs(text)]), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.decode_ids(ids).decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode_decode(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with ``n_tokens ids_sha256 decoded_sha256`` of every text."""
+def encode_decode(
+    docs: DataFrame,
+    model: bytes,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256"),
+) -> DataFrame:
+    """The columns ``keep`` with ``outputs``: ``ids``, ``decoded``, ``n_tokens`` and digests of the first two."""
+    kinds = {"ids": "array<int>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = PrefixEncoder(model)
         for batch in batches:
-            rows = []
+            made: dict[str, list] = {name: [] for name in outputs}
             for body in batch["_text"]:
                 runs = coder.runs(body or "")
                 ids = ",".join([r[0] for r in runs])
-                decoded = b"".join([r[1] for r in runs]).removeprefix(b" ")
-                rows.append((
-                    ids.count(",") + 1 if ids else 0,
-                    hashlib.sha256(ids.encode()).hexdigest(),
-                    hashlib.sha256(decoded.decode("utf-8", "replace").encode()).hexdigest(),
-                ))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"], index=batch.index)
-            yield pd.concat([batch[list(keep)], out], axis=1)
-
-    kept = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text")
-    return kept.mapInPandas(encode, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                decoded = b"".join([r[1] for r in runs]).removeprefix(b" ").decode("utf-8", "replace")
+                row = {
+                    "n_tokens": ids.count(",") + 1 if ids else 0,
+                    "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(),
+                    "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest(),
+                    "decoded": decoded,
+                }
+                if "ids" in made:
+                    row["ids"] = np.frombuffer(b"".join([r[2] for r in runs]), np.int32)
+                for name, values in made.items():
+                    values.append(row[name])
+            out = pd.DataFrame(made, index=batch.index)
+            yield pd.concat([batch[[f"_keep{k}" for k in range(len(keep))]], out], axis=1)
+
+    kept = docs.select(*[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)], F.col(text).alias("_text"))
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text"]
+    encoded = kept.mapInPandas(encode, ", ".join(schema + [f"{name} {kinds[name]}" for name in outputs]))
+    return encoded.select(*[F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)], *outputs)
 
 
 def model_bytes(path: str | None = None) -> bytes:
