@@ -56,3 +56,18 @@ def without_lines(lines: str, dropped: str) -> Column:
     """The text of the array column ``lines`` without the positions in ``dropped``; work linear in the lines."""
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
     return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id text label`` of the rows of ``docs`` with a label; of several labels of an id the largest counts.
+
+    Labels below ``BROADCAST_BYTES`` by their count are sent to the texts; otherwise both are shuffled.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(
+        F.max(label).cast("int").alias("label")
+    )
+    small = 32 * labels.count() <= BROADCAST_BYTES
+    return docs.select(doc_id, "text").join(F.broadcast(known) if small else known, doc_id)

@@ -8,6 +8,7 @@ from newslake.llm import (
     line_templates,
     near_dedup,
     sentencepiece_prefix,
+    toxicity,
     url_filter,
 )
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op6_sentencepiece": sentencepiece_prefix.op6_sentencepiece,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_templates": line_templates.op9_line_templates,
     "op10_url_filter": url_filter.op10_url_filter,
 }
