@@ -7,6 +7,7 @@ from newslake.llm import (
     line_frequency,
     line_templates,
     near_dedup,
+    quality,
     sentencepiece_prefix,
     toxicity,
     url_filter,
@@ -14,6 +15,7 @@ from newslake.llm import (
 
 QUERIES = {
     "op1_line_frequency": line_frequency.op1_line_frequency,
+    "op2_quality": quality.op2_quality,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op6_sentencepiece": sentencepiece_prefix.op6_sentencepiece,
