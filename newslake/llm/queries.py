@@ -8,6 +8,7 @@ from newslake.llm import (
     line_templates,
     near_dedup,
     quality,
+    secret_scan,
     sentencepiece_prefix,
     toxicity,
     url_filter,
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op4_secrets": secret_scan.op4_secrets,
     "op6_sentencepiece": sentencepiece_prefix.op6_sentencepiece,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_templates": line_templates.op9_line_templates,
