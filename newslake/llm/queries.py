@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from newslake.llm import (
     decontaminate,
+    language_id,
     line_frequency,
     line_templates,
     near_dedup,
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op4_secrets": secret_scan.op4_secrets,
+    "op5_language_id": language_id.op5_language_id,
     "op6_sentencepiece": sentencepiece_prefix.op6_sentencepiece,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_templates": line_templates.op9_line_templates,
