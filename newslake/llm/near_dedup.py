@@ -2,15 +2,15 @@
 
 Two small collections of half keys are computed for each document, ``SIDE`` half keys of ``ROWS`` minhashes each.
 A table key is a pair of half keys, one of either collection: ``SIDE ** 2`` keys for ``2 * SIDE`` half keys, so the
-minhash work is about the square root of that of independent tables. At the threshold of 0.8 a pair shares no key
-with probability ``2 * (1 - 0.8 ** ROWS) ** SIDE``, below 2e-7. Half keys that no other document has are dropped
-before pairs are formed.
+minhash work is about the square root of that of independent tables. At a similarity of s a pair shares no key
+with probability ``2 * (1 - s ** ROWS) ** SIDE``: 2e-5 at 0.8, 2e-6 at 0.85. Half keys that no other document has are
+dropped before pairs are formed.
 
-Texts with the same words are one class from the start. In each bucket (documents with a key in common) the
-members are compared with the smallest member first; links are confirmed on full shingle sets and contracted to
-components. Members of a bucket that still lie in different components are compared in further rounds with a growing
-number of members, the odd ones first, until no pair of different components is untested: no cap, and no pairs
-within a component. A comparison sends the members' texts to the hub's task, spread over salts for a large hub.
+Texts with the same words are one class from the start. Documents that are connected by common keys form a cluster;
+within it, links are confirmed on full shingle sets, in blocks of bounded size. First each block is compared in
+itself and with the first one, and what links is contracted; then only the members outside the cluster's largest
+component meet the other blocks. Of the links of a block only a spanning forest leaves a task. Nothing is capped, and
+no pair of documents becomes a row.
 
 Cases: a null text and a text without words have an empty set and link with nothing. Repeated rows are copies of each
 other; a repeated id is one document with all its links. A null id counts as the largest id and is never a
@@ -32,10 +32,10 @@ from newslake.session import materialise
 SHINGLE = 5
 THRESHOLD = 80  # percent
 SIDE = 16  # half keys of either collection
-ROWS = 2  # minhashes of a half key
+ROWS = 3  # minhashes of a half key
 SEED = 20240229
-SALTS = 32
-HUBS = 4  # members of a bucket that the others are compared with in the second round; four times as many in each next
+BLOCK = 2048  # members of a cluster that one task compares with as many others
+BLOCK_SHINGLES = 2_000_000  # and their shingles
 KNOWN_WORDS = 300_000  # hashes of words that a task remembers
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -120,8 +120,8 @@ def sketches(nodes: DataFrame, shingle: int) -> DataFrame:
     return nodes.mapInPandas(sketch, SKETCH)
 
 
-def bucket_members(classes: DataFrame) -> DataFrame:
-    """``key, node, n_shingles`` of every bucket with two members or more."""
+def bucket_stars(classes: DataFrame) -> DataFrame:
+    """``hub, node``: every member of a bucket with the least one, once."""
     halves = classes.select("node", F.posexplode("halves").alias("pos", "half"))
     shared = halves.groupBy("pos", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     active = halves.join(shared, ["pos", "half"]).groupBy("node").agg(
@@ -136,49 +136,112 @@ def bucket_members(classes: DataFrame) -> DataFrame:
     )
     paired = materialise(paired, "keys")
     full = paired.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = paired.join(full.select("key", "hub"), "key")
-    return members.join(classes.select("node", "n_shingles"), "node")
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs (``hub``, ``node``) whose full sets are similar enough."""
-    dealt = pairs.select("hub", "node", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    members = dealt.join(texts, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "text")
-    hubs = (
-        dealt.select("hub", "salt").distinct()
-        .join(texts.withColumnRenamed("node", "hub"), "hub")
-        .select("hub", "salt", F.lit(0).alias("kind"), F.col("hub").alias("node"), "text")
-    )
+    return paired.join(full.select("key", "hub"), "key").where("hub != node").select("hub", "node").distinct()
+
+
+def common_counts(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """Sizes of all intersections. Shingles of many sets are multiplied as columns, the others counted by their pairs."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    order = np.argsort(ids, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(df)])[:-1]
+    frequent = max(8, min(32, n // 64))
+    wide = np.flatnonzero(df >= frequent)
+    for at in range(0, len(wide), columns):
+        part = wide[at : at + columns]
+        column = np.full(len(df), -1)
+        column[part] = np.arange(len(part))
+        held = column[ids] >= 0
+        dense = np.zeros((n, len(part)), np.float32)
+        dense[owner[held], column[ids[held]]] = 1
+        out += dense @ dense.T
+    flat = out.reshape(-1)
+    for k in range(2, frequent):
+        first = starts[df == k]
+        if len(first):
+            who = owner[order[first[:, None] + np.arange(k)]]
+            for i in range(k):
+                for j in range(k):
+                    if i != j:
+                        np.add.at(flat, who[:, i] * n + who[:, j], 1)
+    return out
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, at, sets = WordHashes(), None, []
-        for batch in batches:
-            found = []
-            for hub, salt, kind, node, text in batch.itertuples(index=False):
-                if at != (hub, salt):
-                    at, sets = (hub, salt), []
-                own = shingle_set(split_words(text), shingle, known)
-                if not kind:
-                    sets.append(own)
-                    continue
-                for other in sets:
-                    if 100 * min(len(own), len(other)) < threshold * max(len(own), len(other)):
-                        continue
-                    both = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * both >= threshold * (len(own) + len(other) - both):
-                        found.append((hub, node))
-                        break
-            yield pd.DataFrame(found, columns=["hub", "node"], dtype="int64")
 
+def spanning_links(nodes: list[int], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links that connect what all links among the sets connect."""
+    if len(nodes) < 2:
+        return []
+    size = np.array([len(s) for s in sets], np.float32)
+    both = common_counts(sets)
+    linked = 100 * both.astype(np.float64) >= threshold * (size[:, None] + size[None, :] - both)
+    fresh, out = np.ones(len(nodes), bool), []
+    for root in range(len(nodes)):
+        if not fresh[root]:
+            continue
+        fresh[root], stack = False, [root]
+        while stack:
+            u = stack.pop()
+            found = np.flatnonzero(linked[u] & fresh)
+            fresh[found] = False
+            out += [(nodes[u], nodes[v]) for v in found]
+            stack += found.tolist()
+    return out
+
+
+def block_links(rows: DataFrame, threshold: int) -> DataFrame:
+    """``hub, node``: spanning links of each group of ``rows`` (``g1 g2 g3 node set``); a group is two blocks at most."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, nodes, sets = None, [], []
+
+        def links_of_group() -> pd.DataFrame:
+            found = spanning_links(nodes, sets, threshold)
+            nodes.clear()
+            sets.clear()
+            return pd.DataFrame(found, columns=["hub", "node"], dtype="int64")
+
+        for batch in batches:
+            for g1, g2, g3, node, body in batch.itertuples(index=False):
+                if at != (g1, g2, g3):
+                    if len(nodes) > 1:
+                        yield links_of_group()
+                    at = (g1, g2, g3)
+                    nodes.clear()
+                    sets.clear()
+                nodes.append(node)
+                sets.append(np.frombuffer(body, np.uint64))
+        yield links_of_group()
+
+    groups = ["g1", "g2", "g3"]
     return (
-        hubs.unionByName(members)
-        .repartition("hub", "salt")
-        .sortWithinPartitions("hub", "salt", "kind", "node")
-        .mapInPandas(verify, "hub long, node long")
-        .distinct()
+        rows.select(*groups, "node", "set").repartition(*groups).sortWithinPartitions(*groups)
+        .mapInPandas(compare, "hub long, node long")
     )
 
 
+def shingle_sets(placed: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``placed`` (``node cluster block``) with the whole set of each node, as bytes."""
+    texts = nodes.where("text IS NOT NULL").join(placed, "node").select("node", "cluster", "block", "text")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for batch in batches:
+            made = [shingle_set(split_words(t), shingle, known).tobytes() for t in batch.pop("text")]
+            yield batch.assign(set=made)
+
+    return texts.mapInPandas(build, "node long, cluster long, block int, set binary")
+
+
+def in_blocks(nodes: DataFrame, *group: str) -> DataFrame:
+    """``nodes`` (``node n_shingles`` and ``group``) with ``block``: bounded in members and in bytes, by their hash."""
+    sizes = nodes.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("bulk"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bulk") / BLOCK_SHINGLES))
+    sizes = sizes.select(*group, blocks.cast("int").alias("blocks"))
+    return nodes.join(sizes, list(group)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``node, comp``: the least node reachable, for every node of ``edges`` (``hub``, ``node``).
 
@@ -205,45 +268,53 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def links(members: DataFrame, texts: DataFrame, given: DataFrame, shingle: int, threshold: int) -> DataFrame:
+def links(classes: DataFrame, nodes: DataFrame, given: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """``node, comp`` of all nodes that link with another; ``given`` has links (``hub``, ``node``) known before."""
-    first = members.where("hub != node").groupBy("node").agg(F.min("hub").alias("hub"))
-    pairs = materialise(first.select("hub", "node"), "pairs")
-    comps = components(confirmed(pairs, texts, shingle, threshold).unionByName(given))
-    tested, hubs = pairs, HUBS
-    while True:
-        labelled = members.join(comps, "node", "left").select(
-            "key", "node", "n_shingles", F.coalesce("comp", "node").alias("comp")
-        )
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        mixed = labelled.join(mixed.select("key"), "key")
-        sizes = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        rank = Window.partitionBy("key").orderBy("size", "comp", "node")
-        ranked = materialise(
-            mixed.join(sizes, ["key", "comp"]).withColumn("rank", F.row_number().over(rank)), "ranked"
-        )
-        odd = ranked.groupBy("key").agg((F.count(F.lit(1)) - F.max("size")).alias("odd")).agg(F.max("odd")).first()[0]
-        if odd is None:
-            return comps
-        a, b = ranked.where(F.col("rank") <= hubs).alias("a"), ranked.alias("b")
-        lo, hi = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-        pairs = (
-            a.join(b, F.col("a.key") == F.col("b.key"))
-            .where("b.rank > a.rank AND a.comp != b.comp")
-            .where(100 * lo >= threshold * hi)
-            .select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-            .select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node"))
-            .distinct()
-            .join(tested, ["hub", "node"], "left_anti")
-        )
-        pairs = materialise(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = confirmed(pairs, texts, shingle, threshold)
-            known = comps.select(F.col("comp").alias("hub"), "node")
-            comps = components(known.unionByName(found))
-        if odd <= hubs:  # every pair of different components in a bucket has been tested
-            return comps
-        tested, hubs = tested.unionByName(pairs), 4 * hubs
+    coarse = components(bucket_stars(classes), "clusters").select("node", F.col("comp").alias("cluster"))
+    roots = coarse.select(F.col("cluster").alias("node"), "cluster").distinct()
+    coarse = coarse.unionByName(roots).join(classes.select("node", "n_shingles"), "node")
+    placed = materialise(in_blocks(coarse, "cluster"), "blocks")
+    sets = materialise(shingle_sets(placed.select("node", "cluster", "block"), nodes, shingle), "sets")
+
+    # Each block in itself and, where a cluster has several, together with its first one.
+    own = sets.select(F.col("cluster").alias("g1"), F.col("block").alias("g2"), F.lit(0).alias("g3"), "node", "set")
+    others = placed.where("blocks > 1 AND block > 0").select("cluster", "block").distinct()
+    first = sets.where("block = 0").select("cluster", "node", "set").join(others, "cluster")
+    first = first.select(F.col("cluster").alias("g1"), F.col("block").alias("g2"), F.lit(0).alias("g3"), "node", "set")
+    found = materialise(block_links(own.unionByName(first), threshold).unionByName(given), "links")
+    comps = components(found)
+    large = placed.where("blocks > 1").select("node", "cluster", "n_shingles").join(comps, "node", "left").select(
+        "node", "cluster", "n_shingles", F.coalesce("comp", "node").alias("comp")
+    )
+    sizes = large.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("k"))
+    open_nodes = large.join(main.where("k > 1"), "cluster").withColumn("odd", (F.col("comp") != F.col("main")))
+    dealt = materialise(in_blocks(open_nodes.select("node", "cluster", "n_shingles", "odd"), "cluster", "odd"), "odd-blocks")
+    if dealt.isEmpty():
+        return comps
+    # Members outside a cluster's largest component meet all others, in pairs of blocks; within it nothing is left to do.
+    counts = dealt.select("cluster", "odd", "blocks").distinct().groupBy("cluster").agg(
+        F.max(F.when(F.col("odd"), F.col("blocks"))).alias("odd_blocks"),
+        F.max(F.when(~F.col("odd"), F.col("blocks"))).alias("main_blocks"),
+    )
+    pairs = (
+        counts.select("*", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("g2"))
+        .select("cluster", "odd_blocks", "g2", F.explode(
+            F.sequence(F.col("g2"), F.col("odd_blocks") + F.col("main_blocks") - 1)
+        ).alias("g3"))
+    )
+    wanted = pairs.select("cluster", "odd_blocks", "g2", "g3", F.explode(F.array_distinct(F.array("g2", "g3"))).alias("at"))
+    wanted = wanted.select(
+        "cluster", "g2", "g3",
+        (F.col("at") < F.col("odd_blocks")).alias("odd"),
+        F.when(F.col("at") < F.col("odd_blocks"), F.col("at")).otherwise(F.col("at") - F.col("odd_blocks")).alias("block"),
+    )
+    rows = sets.select("node", "set").join(dealt.select("node", "cluster", "odd", "block"), "node").join(
+        wanted, ["cluster", "odd", "block"]
+    )
+    more = block_links(rows.withColumnRenamed("cluster", "g1"), threshold)
+    known = comps.select(F.col("comp").alias("hub"), "node")
+    return components(known.unionByName(more))
 
 
 def near_dedup(
@@ -258,16 +329,12 @@ def near_dedup(
         F.min("node").alias("class"), F.first("halves").alias("halves"), F.first("n_shingles").alias("n_shingles")
     )
     classes = materialise(classes, "classes")
-    members = materialise(bucket_members(classes.withColumnRenamed("class", "node")), "members")
-    texts = materialise(
-        nodes.where("text IS NOT NULL").join(members.select("node").distinct(), "node", "left_semi")
-        .select("node", "text"),
-        "texts",
-    )
     of_row = worded.select("node", "th", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "class"), ["d1", "d2"])
     repeated = drawn.groupBy("node").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo != hi")
     given = of_row.join(repeated.select("node"), "node").select(F.col("class").alias("hub"), "node")
-    comps = links(members, texts, given, shingle, threshold).withColumnRenamed("node", "class")
+    named_classes = classes.select(F.col("class").alias("node"), "halves", "n_shingles")
+    comps = links(named_classes, nodes.select("node", "text"), given, shingle, threshold)
+    comps = comps.withColumnRenamed("node", "class")
     found = (
         of_row.join(comps, "class", "left")
         .groupBy(F.col("node").alias("_node"), F.col("th").alias("_th"))
