@@ -2,54 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
-from newslake.functions.chunker import fixed_windows
-from newslake.functions.tags import detect_tags
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-MAX_INLINE_KEYWORDS = 500
-GRAM = 3
+SLICE_BYTES = 4 << 20  # of keywords, as much as an automaton holds at a time
 
 
 def tag_join(
-    articles: DataFrame, keywords: DataFrame, id_column: str, text: str, max_inline: int = MAX_INLINE_KEYWORDS
+    articles: DataFrame, keywords: DataFrame, id_column: str, text: str, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
-    """``(id, tag)`` for every article that holds a keyword of the tag; ``keywords`` is ``(tag, keyword)``.
-
-    A dictionary of up to ``max_inline`` rows (read with that limit) becomes one JVM expression over the
-    text, without a join. A larger one is joined on the opening letters of its keywords, see ``_gram_join``.
-    """
-    head = keywords.select("tag", "keyword").limit(max_inline + 1).collect()
-    if len(head) > max_inline:
-        return _gram_join(articles, keywords, id_column, text)
-    words: dict[str, list[str]] = {}
-    for row in head:
-        words.setdefault(row["tag"], []).append(row["keyword"])
-    tags = detect_tags(F.col(text), keywords=words)
-    return articles.select(id_column, F.explode(tags).alias("tag"))
-
+    """``(id, tag)`` for every article row that holds a keyword of the tag; ``keywords`` is ``(tag, keyword)``.
 
-def _gram_join(articles: DataFrame, keywords: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Equi-join on the first ``GRAM`` characters (or fewer for shorter keywords), then verify.
+    The same test as ``detect_tags``: a keyword is looked for in the lower-cased text and a blank after it, so an
+    empty keyword fits every row, and a row that stands twice gives its tags twice. Null keywords fit nothing.
 
-    Only a gram of each text is exploded, with the places where it starts, so verification compares the
-    keyword with the text that follows instead of moving whole texts.
+    One automaton finds all keywords of a slice of the dictionary in one pass over each text; texts are not shuffled.
+    A slice holds whole tags and at most ``slice_bytes`` (a single larger tag is one slice), so the driver never
+    holds more than that of a dictionary of any size; more slices mean more passes and the same rows.
     """
-    longest = keywords.agg(F.max(F.length("keyword"))).first()[0] or 1
-    words = keywords.where(F.length("keyword") > 0).select(
-        "tag", "keyword", F.substring("keyword", 1, GRAM).alias("gram")
-    ).distinct()
-    # Short overlapping blocks keep the cost of cutting windows linear in the length of the text.
-    block = max(256 + longest, 2 * longest)
-    lowered = articles.select(id_column, F.lower(F.col(text)).alias("_text"))
-    blocks = lowered.select(id_column, F.explode(fixed_windows(F.col("_text"), block, longest)).alias("_block"))
-    places = F.sequence(F.lit(1), F.length("_block"))
-    windows = F.array_distinct(F.transform(places, lambda i: F.substring("_block", i, F.lit(longest))))
-    rows = blocks.select(id_column, F.explode(windows).alias("_window"))
-    grams = F.array_distinct(F.array(*[F.substring("_window", 1, k) for k in range(1, GRAM + 1)]))
-    rows = rows.select(id_column, "_window", F.explode(grams).alias("gram"))
-    hits = rows.join(words, (rows["gram"] == words["gram"]) & F.startswith(rows["_window"], words["keyword"]))
-    return hits.select(id_column, "tag").distinct()
+    words = keywords.where("tag IS NOT NULL AND keyword IS NOT NULL").select("tag", "keyword")
+    total = words.agg(F.sum(F.octet_length("keyword") + 1)).first()[0] or 0
+    slices = -(-total // slice_bytes)
+    seen = articles.select(
+        F.col(id_column), F.lower(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(" "))).alias("_text")
+    )
+    found = [_tagged(seen, id_column, part) for part in _slices(words, slices)]
+    if not found:
+        return seen.select(id_column, F.lit(None).cast("string").alias("tag")).where(F.lit(False))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _slices(words: DataFrame, slices: int) -> Iterator[dict[str, list[str]]]:
+    """The dictionary in ``slices`` parts by hash of the tag, one on the driver at a time."""
+    for k in range(slices):
+        part: dict[str, list[str]] = {}
+        for row in words.where(F.pmod(F.xxhash64("tag"), F.lit(slices)) == k).toLocalIterator():
+            part.setdefault(row["tag"], []).append(row["keyword"])
+        if part:
+            yield part
+
+
+def _tagged(seen: DataFrame, id_column: str, words: dict[str, list[str]]) -> DataFrame:
+    tags_of: dict[str, list[str]] = {}
+    for tag in sorted(words):
+        for word in dict.fromkeys(words[tag]):
+            tags_of.setdefault(word, []).append(tag)
+    always = tags_of.pop("", [])
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, tags in tags_of.items():
+            automaton.add_word(word, tags)
+        automaton.make_automaton()
+        for batch in batches:
+            found = []
+            for text in batch["_text"]:
+                hits = set(always)
+                if tags_of:
+                    for _, tags in automaton.iter(text):
+                        hits.update(tags)
+                found.append(sorted(hits))
+            yield pd.DataFrame({"_id": batch[id_column], "tags": found})
+
+    kind = seen.schema[id_column].dataType.simpleString()
+    rows = seen.mapInPandas(find, f"_id {kind}, tags array<string>")
+    return rows.select(F.col("_id").alias(id_column), F.explode("tags").alias("tag"))
 
 
 def trending_tags(cards: DataFrame, by: tuple[str, ...] = ("question_id",), threshold: int = 3) -> DataFrame:

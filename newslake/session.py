@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 _LOCAL_ROOTS: dict[str, str] = {}  # per local application
@@ -60,3 +60,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def small_side(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` written once, and to be broadcast if what was written is below ``limit`` bytes; else a plain table."""
+    written = materialise(df, label)
+    size = int(str(written._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(written) if size <= limit else written

@@ -11,38 +11,43 @@ from newslake.functions.text import article_id, first_filled, present_or
 from newslake.operators.dedupe import dedupe
 from newslake.operators.ranking import first_per_group
 from newslake.schemas import NEWSAPI_ENVELOPE, article_columns
+from newslake.session import small_side
 
 # Fixed values of the fetch contracts.
-PAGES_PER_TOPIC = 2
+PAGES_PER_TOPIC = 2  # as many a fetcher asks for; pages that have landed are all taken unless a limit is given
 FRESH_DAYS = 7
 FRESH_PER_TOPIC = 5
 DEFAULT_SOURCE = "NewsAPI"
 
 
-def parse_pages(payloads: DataFrame) -> DataFrame:
-    """Parse the bodies. ``bad`` marks pages that are failed, not ok, unreadable or empty."""
-    parsed = payloads.withColumn("envelope", computed_once(F.from_json("body", NEWSAPI_ENVELOPE)))
-    good = (
-        (F.col("http_status") < 400)
-        & (F.col("envelope.status") == "ok")
-        & (F.size("envelope.articles") > 0)
-    )
-    return parsed.withColumn("bad", ~F.coalesce(good, F.lit(False)))
+# As much of a body as tells whether a page is good; the whole envelope is parsed once, for accepted pages.
+MARKS = "status STRING, articles ARRAY<STRUCT<url: STRING>>"
+
+
+def page_marks(payloads: DataFrame) -> DataFrame:
+    """``topic page`` with ``failed`` (http status or status) and ``bad`` (failed, unreadable or without articles)."""
+    seen = payloads.select("topic", "page", "http_status", computed_once(F.from_json("body", MARKS)).alias("seen"))
+    ok = F.coalesce((F.col("http_status") < 400) & (F.col("seen.status") == "ok"), F.lit(False))
+    some = F.coalesce(F.size("seen.articles") > 0, F.lit(False))
+    return seen.select("topic", "page", (~ok).alias("failed"), (~(ok & some)).alias("bad"))
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("envelope", computed_once(F.from_json("body", NEWSAPI_ENVELOPE)))
 
 
-def accept_page_prefix(payloads: DataFrame, pages_per_topic: int | None = PAGES_PER_TOPIC) -> DataFrame:
-    """Pages of each topic before its first bad one.
+def accept_page_prefix(payloads: DataFrame, pages_per_topic: int | None = None) -> DataFrame:
+    """Pages of each topic before its first bad one; of the first ``pages_per_topic``, if a limit is given.
 
-    The first bad page is a partial aggregate per topic, so a topic with most of the pages is never
-    gathered in one task; the join back leaves AQE free to broadcast or to split a hot topic.
+    The first bad page is a partial aggregate per topic over narrow marks. It has a row per topic at most; below the
+    bound of ``small_side`` it is sent to the pages, so that no body is shuffled.
     """
     pages = payloads if pages_per_topic is None else payloads.where(F.col("page") <= pages_per_topic)
-    pages = parse_pages(pages)
-    first_bad = pages.where("bad").groupBy("topic").agg(F.min("page").alias("first_bad"))
-    kept = pages.join(first_bad, "topic", "left").where(
+    first_bad = page_marks(pages).where("bad").groupBy("topic").agg(F.min("page").alias("first_bad"))
+    kept = pages.join(small_side(first_bad, "first-bad"), "topic", "left").where(
         F.col("first_bad").isNull() | (F.col("page") < F.col("first_bad"))
     )
-    return kept.select("topic", "page", "http_status", "body", "envelope")
+    return parse_pages(kept).select("topic", "page", "http_status", "body", "envelope")
 
 
 def page_articles(accepted: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def normalise_articles(raw: DataFrame) -> DataFrame:
     )
 
 
-def newsapi_articles(payloads: DataFrame, pages_per_topic: int | None = PAGES_PER_TOPIC) -> DataFrame:
+def newsapi_articles(payloads: DataFrame, pages_per_topic: int | None = None) -> DataFrame:
     return normalise_articles(page_articles(accept_page_prefix(payloads, pages_per_topic)))
 
 
@@ -102,10 +107,8 @@ def newest_per_topic(
 
     A topic with any failed or not-ok page is left out whole.
     """
-    pages = payloads.withColumn("envelope", computed_once(F.from_json("body", NEWSAPI_ENVELOPE)))
-    good = F.coalesce((F.col("http_status") < 400) & (F.col("envelope.status") == "ok"), F.lit(False))
-    failed = pages.where(~good).select("topic").distinct()
-    raw = page_articles(pages.join(failed, "topic", "left_anti"))
+    failed = small_side(page_marks(payloads).where("failed").select("topic").distinct(), "failed-topics")
+    raw = page_articles(parse_pages(payloads.join(failed, "topic", "left_anti")))
     since = F.to_date(as_of - F.make_dt_interval(days=F.lit(days)))
     dated = raw.withColumn("_date", parse_iso(F.col("publishedAt"))).where(F.to_date("_date") >= since)
     order = [F.col("_date").desc(), article_id(F.coalesce("url", F.lit("")))]

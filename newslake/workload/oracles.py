@@ -302,6 +302,9 @@ ORACLES = {
     "newsapi_normalize": f"""WITH {RAW} SELECT topic, CAST(page AS INT) AS page, CAST(pos AS INT) AS pos, md5(url) AS article_id,
   title, 'NewsAPI' AS source, published AS date, content, url, CAST(NULL AS VARCHAR) AS author
   FROM raw JOIN accepted USING (topic, page) WHERE content <> ''""",
+    "newsapi_first_pages": f"""WITH {RAW} SELECT topic, CAST(page AS INT) AS page, CAST(pos AS INT) AS pos, md5(url) AS article_id,
+  title, 'NewsAPI' AS source, published AS date, content, url, CAST(NULL AS VARCHAR) AS author
+  FROM raw JOIN accepted USING (topic, page) WHERE content <> '' AND page <= 2""",
     "accept_page_prefix": f"WITH {RAW} SELECT topic, CAST(page AS INT) AS page, CAST(n_articles AS INT) AS n_articles FROM accepted",
     "newsapi_format": f"""WITH {RAW} SELECT md5(url) AS article_id, coalesce(title, '') AS title,
   coalesce(source_name, 'NewsAPI') AS source, {stamp('parsed')} AS date, content, url
@@ -396,6 +399,10 @@ FROM hits JOIN records USING (chunk_id) WHERE rank <= 8""",
     "tag_join": "WITH k AS (" + " UNION ALL ".join(
         f"SELECT {text(t)} AS tag, {text(w)} AS keyword" for t, ws in {**TAG_KEYWORDS, **PROSE_KEYWORDS}.items() for w in ws
     ) + ") SELECT DISTINCT doc_id, tag FROM documents JOIN k ON contains(lower(text), keyword)",
+    "tag_join_words": """WITH seen AS MATERIALIZED (SELECT doc_id, lower(text) || ' ' AS t FROM documents),
+k AS (SELECT DISTINCT 'length ' || length(keyword) AS tag, keyword
+  FROM (SELECT unnest(string_split(lower(text), ' ')[1:3]) AS keyword FROM documents) WHERE length(keyword) > 0)
+SELECT DISTINCT doc_id, tag FROM seen JOIN k ON contains(t, keyword)""",
     "topk_sparse": f"""WITH {WINDOWS}, {counts('ctf', 'windows', 'chunk_id', 'content')}, {idf('ctf', 'windows', 'chunk_id')},
 {weights('cw', 'ctf', 'chunk_id')},
 asked AS (SELECT conv_id || ':' || turn AS question_id, text FROM conversations WHERE role = 'user'),

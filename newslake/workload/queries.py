@@ -53,6 +53,12 @@ def newsapi_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newsapi.newsapi_articles(pages, pages_per_topic=None)
 
 
+def newsapi_first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the fetch limit of pages, as a fetcher would have landed them."""
+    pages = views.newsapi_payloads(spark, sf_dir, views.STOPS)
+    return newsapi.newsapi_articles(pages, pages_per_topic=newsapi.PAGES_PER_TOPIC)
+
+
 def accept_page_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.newsapi_payloads(spark, sf_dir, views.STOPS)
     kept = newsapi.accept_page_prefix(pages, pages_per_topic=None)
@@ -336,6 +342,16 @@ def tag_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.tag_join(views.table(spark, sf_dir, "documents"), words, "doc_id", "text")
 
 
+def tag_join_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of several thousand keywords: the first three words of every document, tagged by their length."""
+    documents = views.table(spark, sf_dir, "documents")
+    words = documents.select(F.explode(F.slice(F.split(F.lower("text"), " "), 1, 3)).alias("keyword")).distinct()
+    words = words.where("length(keyword) > 0").select(
+        F.concat(F.lit("length "), F.length("keyword").cast("string")).alias("tag"), "keyword"
+    )
+    return tagging.tag_join(documents, words, "doc_id", "text")
+
+
 def topk_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = views.doc_windows(spark, sf_dir).select("chunk_id", "content")
     idf = materialise(vectorise.fit_idf(windows), "idf")
@@ -568,13 +584,13 @@ def news_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        newsapi_normalize, accept_page_prefix, newsapi_format, fresh_normalize, fresh_top_per_topic,
+        newsapi_normalize, newsapi_first_pages, accept_page_prefix, newsapi_format, fresh_normalize, fresh_top_per_topic,
         github_releases, feed_items, page_articles, route_payloads, rejects, hn_stories, source_catalogue,
         ingest_gate, gate_rejects, article_ids, default_fields, strip_boilerplate, pages_to_markdown,
         normalize_dates, url_source, repo_names, detect_tags, tag_unions, split_tag_lists, expand_queries,
         parse_chunk_ids, chat_records, extract_answers, recent_articles, export_documents, chunk_documents,
         chunk_coverage, chunk_fixed, chunk_records, stored_articles, topk_cosine, topk_online, chat_context,
-        neighbor_ids, neighbor_chunks, tag_join, topk_sparse, topk_lsh, dedupe_articles, upsert_chunks,
+        neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_lsh, dedupe_articles, upsert_chunks,
         combine_context, build_cards, card_snippets, trending_tags, prompt_context, articles_by_tag,
         articles_by_tag_listing, ingest_summary, newest_articles, answer_questions, response_status,
         normalize_vectors, hash_vectors, pairwise_similarity, stream_fresh, stream_upsert, stream_trending,

@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from newslake.functions.tags import TAG_KEYWORDS, keyword_table
+from newslake.functions.tags import detect_tags, TAG_KEYWORDS, keyword_table
 from newslake.operators import context, summary, tagging, upsert
 from newslake.plans.answer import answer_questions, expanded_questions, question_context
 
@@ -119,12 +119,17 @@ def test_export(spark):
     assert got == [("", "a,b", "online"), ("2024-01-02T00:00:00+00:00", "", "online")]
 
 
-def test_tag_join_ways_agree(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = keyword_table(spark, {**TAG_KEYWORDS, "Prose": ["tion", "es", "ü", "ung"], "None": ["zzzz"]})
-    inline = {tuple(r) for r in tagging.tag_join(docs, words, "doc_id", "text").collect()}
-    joined = {tuple(r) for r in tagging.tag_join(docs, words, "doc_id", "text", max_inline=3).collect()}
-    assert inline == joined and {t for _, t in inline} >= {"Prose"}
+def test_tag_join_agrees_with_detect_tags(spark, sf_dir):
+    words = {**TAG_KEYWORDS, "Prose": ["tion", "es", "ü", "ung"], "None": ["zzzz"], "All": [""], "Edge": ["go ", " we"]}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-1, "we use go"), (-1, "we use go"), (-2, None), (None, "")], "doc_id LONG, text STRING")
+    )
+    tags = detect_tags(F.col("text"), keywords=words)
+    want = sorted(map(str, docs.select("doc_id", F.explode(tags).alias("tag")).collect()))
+    table = keyword_table(spark, words).unionByName(spark.createDataFrame([("None", None), (None, "we")], "tag STRING, keyword STRING"))
+    for size in (1 << 20, 40):
+        assert sorted(map(str, tagging.tag_join(docs, table, "doc_id", "text", size).collect())) == want
+    assert tagging.tag_join(docs, table.limit(0), "doc_id", "text").count() == 0
 
 
 def test_tag_counts(spark):

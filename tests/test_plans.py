@@ -10,6 +10,7 @@ from newslake.operators import search, upsert
 from newslake.operators.chunking import chunk_records
 from newslake.operators.ranking import first_per_group
 from newslake.operators.vectorise import fit_idf
+from newslake.sources import newsapi
 from newslake.sources.gate import ingest_gate
 from newslake.sources.scraped import feed_items, html_pages, scraped_articles
 from newslake.workload import views
@@ -66,3 +67,16 @@ def test_payload_routes_share_one_scan(spark, tmp_path):
     landed.write.parquet(str(tmp_path / "landed"))
     text = plan(scraped_articles(spark.read.parquet(str(tmp_path / "landed"))))
     assert [text.count(part) for part in ("FileScan", "from_xml(", "from_json(", "<blockquote")] == [1, 1, 1, 1]
+
+
+def test_news_pages_are_parsed_once_and_not_shuffled(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a", 1, 200, '{"status": "ok", "articles": [{"url": "u", "description": "d"}]}'), ("a", 2, 429, "{}")],
+        "topic STRING, page INT, http_status INT, body STRING",
+    )
+    rows.write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    for df in (newsapi.newsapi_articles(pages), newsapi.accept_page_prefix(pages)):
+        text = plan(df)
+        assert text.count("from_json(") == 1 and "Exchange hashpartitioning(topic" not in text
+    assert newsapi.newsapi_articles(pages).count() == 1

@@ -61,9 +61,9 @@ def test_pages_before_the_first_failure_are_kept(spark):
         ("python", 1, 200, page(ten)), ("python", 2, 400, page([], "error")), ("python", 3, 200, page(ten)),
         ("web", 1, 200, page(ten)), ("web", 2, 200, page(ten)), ("web", 3, 200, page(ten)),
     )
-    got = newsapi.newsapi_articles(rows, None).groupBy("topic").count().collect()
-    assert {r["topic"]: r["count"] for r in got} == {"python": 10, "web": 30}
     got = newsapi.newsapi_articles(rows).groupBy("topic").count().collect()
+    assert {r["topic"]: r["count"] for r in got} == {"python": 10, "web": 30}
+    got = newsapi.newsapi_articles(rows, 2).groupBy("topic").count().collect()
     assert {r["topic"]: r["count"] for r in got} == {"python": 10, "web": 20}
 
 
