@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,9 +35,10 @@ from newslake.llm.common import table
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-REMEMBERED_RUNS = 200_000  # in a task
+REMEMBERED_RUNS = 400_000  # in a task
 REMEMBERED_PAIRS = 1_000_000
 LONG_RUN = 48  # longer runs are not remembered
+NEVER = float("-inf")
 
 
 class PrefixEncoder:
@@ -74,13 +76,16 @@ class PrefixEncoder:
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.whole: dict[int, bool] = {}  # pieces that are their own encoding
+        self.histories: dict[int, tuple[list, list] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[str, bytes, bytes]] = {}
         self.split = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
 
-    def merged(self, text: str) -> list[str]:
-        """The definition: join the best neighbouring pair, the left one of equals, until none is a piece."""
+    def merges(self, text: str) -> tuple[list[str], list[tuple[float, int, int, str]]]:
+        """The definition: join the best neighbouring pair, the left one of equals, until none is a piece.
+
+        Returns the pieces left and every join in order: score, start, end, piece.
+        """
         parts = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -91,8 +96,9 @@ class PrefixEncoder:
 
         for i in range(len(parts) - 1):
             offer(i)
+        joins = []
         while heap:
-            _, i, joined = heapq.heappop(heap)
+            score, i, joined = heapq.heappop(heap)
             j = after[i]
             if not parts[i] or j >= len(parts) or parts[i] + parts[j] != joined:
                 continue
@@ -100,41 +106,76 @@ class PrefixEncoder:
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
+            joins.append((-score, i, after[i], joined))
             offer(before[i])
             offer(i)
-        return [p for p in parts if p]
+        return [p for p in parts if p], joins
+
+    def edges(self, token: int) -> tuple[list, list] | None:
+        """Joins inside a piece with what each makes of its last, and of its first, part; None if it is never made."""
+        if token not in self.histories:
+            name = self.names[token]
+            parts, joins = self.merges(name)
+            self.histories[token] = None if parts != [name] else (
+                [(score, made if end == len(name) else None) for score, _, end, made in joins],
+                [(score, made if start == 0 else None) for score, start, _, made in joins],
+            )
+        return self.histories[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the text of both pieces is encoded as just these two; ``left`` below 0: as ``right`` alone."""
-        memory, pair = (self.pairs, left * 65536 + right) if left >= 0 else (self.whole, right)
-        found = memory.get(pair)
-        if found is None:
-            if len(memory) >= REMEMBERED_PAIRS:
-                memory.clear()
-            parts = [self.names[left], self.names[right]] if left >= 0 else [self.names[right]]
-            found = memory[pair] = self.merged("".join(parts)) == parts
+        """Whether the text of both pieces is encoded as just these two; ``left`` below 0: as ``right`` alone.
+
+        The joins inside either piece happen as they do alone, the better first and of equals those on the left,
+        unless a join across the boundary is better than what is due next.
+        """
+        if left < 0:
+            return self.edges(right) is not None
+        if len(self.pairs) >= REMEMBERED_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left * 65536 + right] = self._stay_apart(left, right)
         return found
 
+    def _stay_apart(self, left: int, right: int) -> bool:
+        one, two = self.edges(left), self.edges(right)
+        if one is None or two is None:
+            return False
+        score, due, due_too = self.scores.get, one[0], two[1]
+        x, y, i, j = self.names[left][-1], self.names[right][0], 0, 0
+        across = score(x + y)
+        while True:
+            next_x = due[i][0] if i < len(due) else NEVER
+            next_y = due_too[j][0] if j < len(due_too) else NEVER
+            if across is not None and across > next_x and across >= next_y:
+                return False
+            if next_x >= next_y:
+                if next_x == NEVER:
+                    return True
+                made, i = due[i][1], i + 1
+                if made:
+                    x = made
+                    across = score(x + y)
+            else:
+                made, j = due_too[j][1], j + 1
+                if made:
+                    y = made
+                    across = score(x + y)
+
     def prefix_table(self, run: str) -> list[int]:
         """The last token of each prefix of ``run``; where a character is no piece, the negative of its code point."""
-        last: list[int] = [-1] * len(run)
-        ended = [[] for _ in run]
-        for end, match in self.automaton.iter(run):
-            ended[end].append(match)
-        names, compatible = self.names, self.compatible
-        del names
-        for end, matches in enumerate(ended):
-            if not matches:
-                last[end] = -1 - ord(run[end])
+        last = [-1 - ord(c) for c in run]
+        pairs, compatible, done = self.pairs, self.compatible, -1
+        for end, (token, size) in self.automaton.iter(run):  # by end, long pieces first
+            if end == done:
                 continue
-            for token, size in matches:
-                start = end - size
-                before = last[start] if start >= 0 else -1
-                if compatible(before if before >= 0 else -1, token):
-                    last[end] = token
-                    break
+            before = last[end - size] if end >= size else -1
+            if before < 0:
+                fits = compatible(-1, token)
             else:
-                raise ValueError(f"no token ends a prefix of {run[: end + 1]!r}")
+                fits = pairs.get(before * 65536 + token)
+                if fits is None:
+                    fits = compatible(before, token)
+            if fits:
+                last[end], done = token, end
         return last
 
     def encode_run(self, run: str) -> list[int]:
@@ -159,7 +200,7 @@ class PrefixEncoder:
         found = self.known.get(run)
         if found is None:
             ids = self.encode_run(run)
-            found = ",".join(map(str, ids)), self.decode_ids(ids), np.array(ids, np.int32).tobytes()
+            found = ",".join(map(str, ids)), self.decode_ids(ids), array("i", ids).tobytes()
             if len(run) <= LONG_RUN:
                 if len(self.known) >= REMEMBERED_RUNS:
                     self.known.clear()
