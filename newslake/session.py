@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,8 +49,38 @@ def work_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/newslake-{label}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or work_root(spark)}/newslake-{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_of_a_run(spark: SparkSession, label: str) -> Iterator[str]:
+    """Work folders made inside lie in one folder, which goes when the block ends: its result is written by then."""
+    folder = new_folder(spark, label)
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        remove(spark, folder)
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _located(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _located(spark, path)
+    files.delete(place, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

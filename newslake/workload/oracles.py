@@ -475,8 +475,13 @@ SELECT doc_id, dim, round(weight, 6) AS weight FROM w""",
   round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "stream_fresh": """SELECT DISTINCT md5('https://events.example.org/' || user_id || '/' || event_type) AS article_id, user_id, event_type FROM events""",
-    "stream_upsert": f"""WITH {DOCS} SELECT article_id, title, source, {tag_list("lower(content || ' ' || title)", TAG_KEYWORDS)} AS tags FROM (
-  SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY source, title ORDER BY doc_id) = 1)""",
+    "stream_upsert": f"""WITH {DOCS}, landed AS (
+  SELECT doc_id % 2 AS part, doc_id, article_id, title, source, content FROM docs
+  UNION ALL SELECT 2, doc_id, article_id, substr(content || ' Updated later.', 1, 40), source, content || ' Updated later.' FROM docs WHERE doc_id % 10 = 0),
+unique_rows AS (SELECT * FROM landed QUALIFY row_number() OVER (PARTITION BY part, source, title ORDER BY doc_id) = 1)
+SELECT article_id, title, source, {tag_list("lower(content || ' ' || title)", TAG_KEYWORDS)} AS tags,
+  CASE WHEN length(content) <= 1200 THEN {strip('content')} END AS content
+FROM unique_rows QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY part DESC) = 1""",
     "stream_trending": f"""WITH w AS (SELECT date_trunc('day', ts) - to_days(CAST(i AS INT)) AS start, event_type AS tag
   FROM events, (SELECT unnest(range(7)) AS i))
 SELECT {stamp('start')} AS window_start, {stamp('start + INTERVAL 7 DAY')} AS window_end, tag, count(*) AS n FROM w

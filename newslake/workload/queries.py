@@ -551,15 +551,30 @@ def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stream in as articles; the index afterwards, one row per article."""
-    schema = views.table(spark, sf_dir, "documents").schema
-    documents = fresh_stream.file_stream(spark, f"{sf_dir}/documents.parquet", schema)
-    columns = views.docs(spark, sf_dir).columns
-    articles = views.as_articles(documents).select(*columns, fetched().alias("fetched_at"))
+    """Documents land in three parts, the last with changed texts; the index after a compaction between them.
+
+    One row per article, with the text of those that fit in one chunk.
+    """
+    documents = views.table(spark, sf_dir, "documents")
+    changed = documents.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" Updated later.")))
+    parts = [documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1"), changed]
     folder = new_folder(spark, "index")
-    index_stream.start_index(articles, f"{folder}/chunks", f"{folder}/state").awaitTermination()
-    chunks = index_stream.read_index(spark, f"{folder}/chunks")
-    return chunks.where("chunk_index = 0").select("article_id", "title", "source", join_tags(F.col("tags")).alias("tags"))
+    landed, table = f"{folder}/landed", f"{folder}/chunks"
+    for n, part in enumerate(parts):
+        part.write.mode("append").parquet(landed)
+        stream = fresh_stream.file_stream(spark, landed, documents.schema)
+        columns = views.docs(spark, sf_dir).columns
+        articles = views.as_articles(stream).select(*columns, fetched().alias("fetched_at"))
+        index_stream.start_index(articles, table, f"{folder}/state").awaitTermination()
+        if n == 1:
+            index_stream.compact_index(spark, table)
+            index_stream.drop_compacted(spark, table)
+    chunks = index_stream.read_index(spark, table)
+    first = F.min_by(F.struct("title", "source", "tags", "content"), "chunk_index")
+    return chunks.groupBy("article_id").agg(F.count("*").alias("n"), first.alias("first")).select(
+        "article_id", "first.title", "first.source", join_tags(F.col("first.tags")).alias("tags"),
+        F.when(F.col("n") == 1, F.col("first.content")).alias("content"),
+    )
 
 
 # Whole ingests

@@ -71,3 +71,11 @@ def test_index_upserts_every_batch(spark, tmp_path):
     assert got == {"u1": ("second version", day(1)), "u2": ("other", day(0))}
     index.start_index(articles, table, state).awaitTermination()
     assert index.read_index(spark, table).count() == 2
+    before = sorted(map(str, index.read_index(spark, table).collect()))
+    assert index.compact_index(spark, table) == 1 == index.compact_index(spark, table)
+    assert sorted(map(str, index.read_index(spark, table).select(*index.read_index(spark, table).columns).collect())) == before
+    index.drop_compacted(spark, table)
+    write_files(spark, tmp_path / "in", [[(5, "u2", "s", "c", "changed after compaction", day(2))]], RAW)
+    index.start_index(articles, table, state).awaitTermination()
+    got = {r["url"]: r["content"] for r in index.read_index(spark, table).collect()}
+    assert got == {"u1": "second version", "u2": "changed after compaction"}
