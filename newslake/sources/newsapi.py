@@ -115,18 +115,15 @@ def newest_per_topic(
     return first_per_group(dated, ["topic"], order, n, rank="topic_rank").drop("_date")
 
 
-def fresh_articles(raw: DataFrame, order: list[str]) -> DataFrame:
-    """Fresh form: url and content required, HTML content cleaned, topic as tag, then deduped.
-
-    ``order`` names the columns that give the arrival order.
-    """
+def clean_fresh(raw: DataFrame, *columns: Column | str) -> DataFrame:
+    """Fresh form with ``columns`` in front: url and content required, HTML content cleaned, topic as tag."""
     content = first_filled(F.col("description"), F.col("content"))
     filled = raw.withColumn("_content", content).where((F.col("_content") != "") & (F.coalesce("url", F.lit("")) != ""))
     is_html = F.contains("_content", F.lit("<"))
     filled = with_markdown(filled.withColumn("_html", F.when(is_html, F.col("_content"))), "_html", "_clean")
     topic = first_filled(F.col("topic"))
-    articles = filled.select(
-        F.struct(*order).alias("seq"),
+    return filled.select(
+        *columns,
         *article_columns(
             article_id=article_id(F.col("url")),
             title=first_filled(F.col("title")),
@@ -138,4 +135,8 @@ def fresh_articles(raw: DataFrame, order: list[str]) -> DataFrame:
             type=F.lit("online"),
         ),
     )
-    return dedupe(articles)
+
+
+def fresh_articles(raw: DataFrame, order: list[str]) -> DataFrame:
+    """``clean_fresh``, then deduped. ``order`` names the columns that give the arrival order."""
+    return dedupe(clean_fresh(raw, F.struct(*order).alias("seq")))

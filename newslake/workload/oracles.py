@@ -448,7 +448,8 @@ asked AS (SELECT 'q' || doc_id AS question_id, title AS question, [source, 'src'
   CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN title ELSE {strip('title')} END AS reply FROM chunks),
 {nearest(8, questions="q.question_id IN (SELECT question_id FROM asked)")},
 {nearest(2, "type = 'chat'", "past", "q.question_id IN (SELECT question_id FROM asked)")}, {WANTED}, {STORIES},
-news AS (SELECT topic, topic_rank, coalesce(title, '') AS title, coalesce(source_name, 'NewsAPI') AS source, date, content, url
+news AS (SELECT topic, topic_rank, coalesce(title, '') AS title, coalesce(source_name, 'NewsAPI') AS source, date,
+  CASE WHEN contains(content, '<') THEN {markdown('content')} ELSE content END AS content, url
   FROM top WHERE url <> '' AND content <> ''),
 met AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY no, topic_rank) AS n, news.*, source || chr(31) || title AS k
   FROM (SELECT question_id, unnest(topics) AS topic, generate_subscripts(topics, 1) AS no FROM asked) JOIN news USING (topic)),

@@ -455,16 +455,7 @@ def _answer_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     pages = views.newsapi_payloads(spark, sf_dir, views.FAILED_TOPICS)
     top = newsapi.newest_per_topic(pages, last_date(views.docs(spark, sf_dir)))
     # Within a question the topics' own articles are deduped; the news of one topic arrive in rank order.
-    news = top.where(F.coalesce("url", F.lit("")) != "").select(
-        "topic", "topic_rank",
-        article_id(F.col("url")).alias("article_id"),
-        F.coalesce("title", F.lit("")).alias("title"),
-        F.coalesce("source.name", F.lit("NewsAPI")).alias("source"),
-        F.col("publishedAt").cast("timestamp").alias("date"),
-        F.coalesce(F.nullif("description", F.lit("")), F.nullif("content", F.lit("")), F.lit("")).alias("content"),
-        "url",
-        F.array("topic").alias("tags"),
-    ).where("content <> ''")
+    news = newsapi.clean_fresh(top, "topic", "topic_rank")
     stories = hackernews.recent_stories(views.hn_items(spark, sf_dir), views.snapshot_time(), hours=2)
     items = answer.question_context(
         questions, vectors, views.chunk_vectors(spark, sf_dir), materialise(news, "news"), materialise(stories, "stories")
