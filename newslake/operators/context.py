@@ -11,9 +11,11 @@ from newslake.functions.text import (
     CHAT_ANSWER_CHARS,
     CHAT_TITLE_CHARS,
     PROMPT_CONTENT_CHARS,
+    article_id,
     extract_answer,
     head,
     join_tags,
+    split_tags,
 )
 from newslake.schemas import article_columns
 
@@ -208,3 +210,19 @@ def export_documents(articles: DataFrame) -> DataFrame:
         F.col("content").alias("page_content"), "title", "source", iso_or_empty(F.col("date")).alias("date"),
         "url", join_tags(F.col("tags")).alias("tags"), F.lit("online").alias("type"),
     )
+
+
+def import_documents(documents: DataFrame) -> DataFrame:
+    """Documents back to articles: csv tags to a list, empty texts of date and tags to null and an empty list."""
+    return documents.select(
+        *article_columns(
+            article_id=article_id(F.coalesce("url", F.lit(""))),
+            title=F.col("title"),
+            source=F.col("source"),
+            date=F.try_to_timestamp(F.nullif("date", F.lit(""))),
+            content=F.col("page_content"),
+            url=F.col("url"),
+            tags=split_tags(F.col("tags")),
+            type=F.col("type"),
+        )
+    )

@@ -47,3 +47,9 @@ def default_urls(spark: SparkSession) -> DataFrame:
     feeds = spark.createDataFrame([(u,) for u in FEEDS], "url STRING")
     repos = spark.createDataFrame([(r,) for r in GITHUB_REPOS], "repo STRING")
     return feeds.unionByName(release_urls(repos))
+
+
+def with_topic_label(rows: DataFrame, slug: str) -> DataFrame:
+    """Add ``label`` of the topic named by ``slug``, the slug itself where the catalogue has none."""
+    known = topics(rows.sparkSession).select(F.col("slug").alias(slug), "label")  # a fixed list of five
+    return rows.join(F.broadcast(known), slug, "left").withColumn("label", F.coalesce("label", slug))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from newslake.functions.html import BOILERPLATE_TAGS, ENTITIES, MARKDOWN_LADDER
 from newslake.functions.tags import TAG_KEYWORDS
-from newslake.sources.catalogue import FEEDS, GITHUB_REPOS
+from newslake.sources.catalogue import FEEDS, GITHUB_REPOS, TOPICS
 from newslake.workload.views import PROSE_KEYWORDS
 
 
@@ -198,7 +198,7 @@ stories AS (
     'https://hn.example.org/' || event_id AS url,
     CASE WHEN event_id % 5 <> 0 THEN 'u' || user_id ELSE 'anonymous' END AS author, 'online' AS type
   FROM listed WHERE feed_rank <= 30 AND event_type <> 'error' AND event_id % 10 <> 0
-    AND second >= CAST(day AS TIMESTAMP) + INTERVAL 23 HOUR)"""
+    AND second >= CAST(day AS TIMESTAMP) + INTERVAL 1 HOUR)"""
 
 GATE = DOCS + """, raw AS (
   SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 23 <> 0 THEN url END AS url,
@@ -370,6 +370,13 @@ SELECT question_id, {STATUS} AS status, {ANSWER} AS answer, CAST(n AS INT) AS n_
   WHERE date > (SELECT max(date) FROM docs) - INTERVAL 8 DAY""",
     "export_documents": f"""WITH {DOCS} SELECT content AS page_content, title, source, CASE WHEN doc_id % 3 <> 0 THEN {ISO} ELSE '' END AS date,
   url, source || ',' || lang AS tags, 'online' AS type FROM docs""",
+    "import_documents": f"""WITH {DOCS} SELECT article_id, title, source, CASE WHEN doc_id % 3 <> 0 THEN {stamp('date')} END AS date, content,
+  url, 2 AS n_tags, source || '|' || lang AS tags, 'online' AS type FROM docs""",
+    "topic_labels": "WITH t(no, slug, label) AS (VALUES " + ", ".join(
+        f"({i}, {text(slug)}, {text(label)})" for i, (slug, label) in enumerate([*TOPICS, ("other", "other")])
+    ) + ") SELECT slug, label, count(*) AS n FROM documents JOIN t ON doc_id % 6 = no GROUP BY slug, label",
+    "split_text_udtf": f"""WITH RECURSIVE source AS (SELECT doc_id, text AS body FROM documents), {recursive_chunks('source', 'doc_id')}
+SELECT doc_id, chunk_index, content FROM pieces""",
     "chunk_documents": f"""WITH RECURSIVE source AS (SELECT doc_id, text AS body FROM documents), {recursive_chunks('source', 'doc_id')}
 SELECT doc_id, chunk_index, content FROM pieces""",
     "page_answers": f"""WITH RECURSIVE {PAGES}, source AS (SELECT page_id, content AS body FROM page_rows WHERE url <> ''),

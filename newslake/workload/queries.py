@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.functions import tags as tag_functions
-from newslake.functions.chunker import MAX_CHARS
+from newslake.functions.chunker import MAX_CHARS, register_split_text
 from newslake.functions.dates import normalise_date
 from newslake.functions.html import strip_tag_pairs
 from newslake.functions.text import (
@@ -112,7 +112,7 @@ def rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hn_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.hn_items(spark, sf_dir)
-    stories = hackernews.recent_stories(items, views.snapshot_time(), hours=2)
+    stories = hackernews.recent_stories(items, views.snapshot_time())
     return stories.select(
         F.col("snapshot").cast("string").alias("snapshot"), "feed_rank", "article_id", "title", "source",
         stamp("date").alias("date"), "content", "url", "author", "type",
@@ -124,6 +124,13 @@ def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue.default_urls(spark).unionByName(catalogue.release_urls(watched.distinct()))
 
 
+def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per topic of the catalogue; one of six slugs is not in it."""
+    slugs = F.array(*[F.lit(x) for x, _ in catalogue.TOPICS], F.lit("other"))
+    rows = views.table(spark, sf_dir, "documents").select(F.get(slugs, (F.col("doc_id") % 6).cast("int")).alias("slug"))
+    return catalogue.with_topic_label(rows, "slug").groupBy("slug", "label").agg(F.count("*").alias("n"))
+
+
 def _gate_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     return views.docs(spark, sf_dir).select(
@@ -261,12 +268,31 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.export_documents(dated)
 
 
+def import_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export read back."""
+    rows = context.import_documents(export_documents(spark, sf_dir))
+    return rows.select(
+        "article_id", "title", "source", stamp("date").alias("date"), "content", "url", F.size("tags").alias("n_tags"),
+        F.array_join("tags", "|").alias("tags"), "type",
+    )
+
+
 # Table functions
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_articles(views.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def split_text_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker as a SQL table function."""
+    register_split_text(spark)
+    documents = views.table(spark, sf_dir, "documents")
+    return spark.sql(
+        "SELECT d.doc_id, c.chunk_index, c.content FROM {documents} d, LATERAL split_text(d.text, 1200, 120) c",
+        documents=documents,
+    )
+
+
 def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What holds for the chunks of every text, whole texts compared."""
     texts = views.table(spark, sf_dir, "documents").withColumn("pieces", chunking.chunk_text(F.col("text")))
@@ -456,7 +482,7 @@ def _answer_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     top = newsapi.newest_per_topic(pages, last_date(views.docs(spark, sf_dir)))
     # Within a question the topics' own articles are deduped; the news of one topic arrive in rank order.
     news = newsapi.clean_fresh(top, "topic", "topic_rank")
-    stories = hackernews.recent_stories(views.hn_items(spark, sf_dir), views.snapshot_time(), hours=2)
+    stories = hackernews.recent_stories(views.hn_items(spark, sf_dir), views.snapshot_time())
     items = answer.question_context(
         questions, vectors, views.chunk_vectors(spark, sf_dir), materialise(news, "news"), materialise(stories, "stories")
     )
@@ -591,10 +617,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         newsapi_normalize, newsapi_first_pages, accept_page_prefix, newsapi_format, fresh_normalize, fresh_top_per_topic,
-        github_releases, feed_items, page_articles, route_payloads, rejects, hn_stories, source_catalogue,
+        github_releases, feed_items, page_articles, route_payloads, rejects, hn_stories, source_catalogue, topic_labels,
         ingest_gate, gate_rejects, article_ids, default_fields, strip_boilerplate, pages_to_markdown,
         normalize_dates, url_source, repo_names, detect_tags, tag_unions, split_tag_lists, expand_queries,
-        parse_chunk_ids, chat_records, extract_answers, recent_articles, export_documents, chunk_documents,
+        parse_chunk_ids, chat_records, extract_answers, recent_articles, export_documents, import_documents, chunk_documents,
+        split_text_udtf,
         chunk_coverage, chunk_fixed, chunk_records, stored_articles, topk_cosine, topk_online, chat_context,
         neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_lsh, dedupe_articles, upsert_chunks,
         combine_context, build_cards, card_snippets, trending_tags, prompt_context, articles_by_tag,
