@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newslake.operators.ranking import first_per_group
+from newslake.session import materialise
 
 DISTANCE_DIGITS = 6
-MAX_BROADCAST_QUESTIONS = 20_000  # 61 MB of doubles at 384 dimensions
-MAX_BROADCAST_BYTES = 128 << 20  # for wider vectors
+SLICE_BYTES = 64 << 20  # of question vectors that the driver and every task hold at a time
 QUESTION_BLOCK = 16_384
 CHUNK_BLOCK = 16_384
 TILE = 2048
@@ -48,9 +48,10 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 class _Best:
     """The ``k`` best chunks per question seen so far."""
 
-    def __init__(self, questions: np.ndarray, k: int):
+    def __init__(self, questions: np.ndarray, k: int, bounds: np.ndarray | None = None):
+        """``bounds``: distances that the k-th best of each question is known not to exceed."""
         self.questions, self.k = questions, k
-        self.limit = np.full(len(questions), np.inf)
+        self.limit = np.full(len(questions), np.inf) if bounds is None else bounds.copy()
         self.q = np.zeros(0, dtype=np.int64)
         self.distance = np.zeros(0)
         self.ids: np.ndarray | None = None
@@ -73,7 +74,7 @@ class _Best:
         held = np.bincount(self.q, minlength=len(self.limit))
         last = np.cumsum(held) - 1
         full = held == self.k
-        self.limit[full] = self.distance[last[full]]
+        self.limit[full] = np.minimum(self.limit[full], self.distance[last[full]])
 
     def _tile(self, ids: np.ndarray, rows: np.ndarray, b: int):
         """Rows that may enter the best of a question; ties at the edge go to the lowest ids."""
@@ -127,37 +128,61 @@ def _filled(batch):
     return batch.filter(pc.greater(pc.fill_null(pc.list_value_length(batch["embedding"]), 0), 0))
 
 
+def _part(df: DataFrame, id_column: str, parts: int, k: int) -> DataFrame:
+    return df.where(_block(id_column, F.lit(parts)) == k) if parts > 1 else df
+
+
 def top_k(
     questions: DataFrame,
     chunks: DataFrame,
     k: int = CHAT_HITS,
-    max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    question_block: int = QUESTION_BLOCK,
-    chunk_block: int = CHUNK_BLOCK,
+    slice_bytes: int = SLICE_BYTES,
+    bound_parts: int | None = None,
 ) -> DataFrame:
     """``(question_id, rank, chunk_id, distance)``: the exact ``k`` nearest chunks of every question.
 
-    Up to ``max_broadcast`` questions (read with that limit, and checked for bytes) are sent to the tasks that scan the chunks, and
-    the chunk side is never shuffled. More questions are cut into blocks that meet blocks of chunks.
+    The questions are written once and taken in slices of about ``slice_bytes`` of vectors, by their size on record;
+    each slice is sent to the tasks that scan the chunks, and no chunk is ever shuffled. A task emits at most ``k``
+    rows per question. Where the chunks have very many splits, ``bound_parts`` cuts that down: any ``k`` distances
+    bound the k-th best from above, so a first scan over one part in so many of the chunks gives bounds, and the
+    second emits only rows within them. The result is the same.
     """
     questions, chunks = _narrow(questions, "question_id"), _narrow(chunks, "chunk_id")
     ddl, schema = _result_schema(questions, chunks)
-    head = questions.limit(max_broadcast + 1).toArrow()
-    if head.num_rows > max_broadcast or head.nbytes > MAX_BROADCAST_BYTES:
-        return _ranked(_by_blocks(questions, chunks, k, question_block, chunk_block), k)
-    head = _filled(head)
-    sent = chunks.sparkSession.sparkContext.broadcast((_ids(head["question_id"]), _matrix(head["embedding"])))
+    questions = materialise(questions, "questions")
+    n, dims = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    slices = max(1, -(-n * 8 * max(dims or 0, 1) // slice_bytes))
+    found = None
+    for i in range(slices):
+        part = _filled(_part(questions, "question_id", slices, i).toArrow())
+        ids, matrix = _ids(part["question_id"]), _matrix(part["embedding"])
+        bounds = None
+        if bound_parts and len(ids):
+            some = _scan(_part(chunks, "chunk_id", bound_parts, 0), ids, matrix, None, k, ddl, schema)
+            reached = _ranked(some, k).where(F.col("rank") == k).select("question_id", "distance").toArrow()
+            of = dict(zip(_ids(reached["question_id"]).tolist(), reached["distance"].to_pylist()))
+            bounds = np.array([of.get(x, np.inf) for x in ids.tolist()])
+        scanned = _scan(chunks, ids, matrix, bounds, k, ddl, schema)
+        found = scanned if found is None else found.unionByName(scanned)
+    return _ranked(found, k)
+
+
+def _scan(
+    chunks: DataFrame, ids: np.ndarray, matrix: np.ndarray, bounds: np.ndarray | None, k: int, ddl: str, schema: pa.Schema
+) -> DataFrame:
+    """Candidates of each task for one slice of the questions."""
+    sent = chunks.sparkSession.sparkContext.broadcast((ids, matrix, bounds))
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, matrix = sent.value
-        best = _Best(matrix, k)
+        question_ids, vectors, limits = sent.value
+        best = _Best(vectors, k, limits)
         for batch in batches:
             batch = _filled(batch)
             if batch.num_rows and len(question_ids):
                 best.add(_ids(batch.column("chunk_id")), _matrix(batch.column("embedding")))
         yield from _emit(best, question_ids, schema)
 
-    return _ranked(chunks.mapInArrow(scan, ddl), k)
+    return chunks.mapInArrow(scan, ddl)
 
 
 def _cell_search(k: int, schema: pa.Schema):
@@ -186,18 +211,9 @@ def _each(blocks) -> Column:
     return F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
 
 
-def _by_blocks(questions: DataFrame, chunks: DataFrame, k: int, question_block: int, chunk_block: int) -> DataFrame:
-    """Grid of question blocks and chunk blocks of bounded size."""
-    q_blocks = F.lit(-(-questions.count() // question_block) or 1)
-    c_blocks = F.lit(-(-chunks.count() // chunk_block) or 1)
-    left = questions.withColumn("qb", _block("question_id", q_blocks)).withColumn("cb", _each(c_blocks))
-    right = chunks.withColumn("cb", _block("chunk_id", c_blocks)).withColumn("qb", _each(q_blocks))
-    return _met(left, right, ["qb", "cb"], k)
-
-
-def top_k_of_type(questions: DataFrame, chunks: DataFrame, kind: str, k: int, **blocks) -> DataFrame:
+def top_k_of_type(questions: DataFrame, chunks: DataFrame, kind: str, k: int, **tuning) -> DataFrame:
     """As ``top_k`` over the chunks of one type; the filter reaches the scan before any scoring."""
-    return top_k(questions, chunks.where(F.col("type") == kind), k, **blocks)
+    return top_k(questions, chunks.where(F.col("type") == kind), k, **tuning)
 
 
 def plane_sign(table: int, bit: int, dim: int) -> float:

@@ -52,10 +52,10 @@ def test_broadcast_search_is_exact_with_ties(spark, vectors, k):
     assert rows(search.top_k(q, c, k)) == brute_force(vectors, k)
 
 
-@pytest.mark.parametrize(("question_block", "chunk_block"), [(10, 70), (100, 1000), (1, 13)])
-def test_block_search_is_exact_with_ties(spark, vectors, question_block, chunk_block):
+@pytest.mark.parametrize(("slice_bytes", "bound_parts"), [(1000, None), (400, 3), (1 << 20, 2), (1 << 20, 300)])
+def test_sliced_and_bounded_search_is_exact_with_ties(spark, vectors, slice_bytes, bound_parts):
     q, c = tables(spark, vectors)
-    got = search.top_k(q, c, 8, max_broadcast=5, question_block=question_block, chunk_block=chunk_block)
+    got = search.top_k(q, c, 8, slice_bytes=slice_bytes, bound_parts=bound_parts)
     assert rows(got) == brute_force(vectors, 8)
 
 
@@ -84,8 +84,8 @@ def test_search_of_one_type(spark, vectors):
 def test_rows_without_vector_are_left_out(spark):
     q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None), ("z", [])], QUESTIONS)
     c = spark.createDataFrame([("x", "t", [1.0, 0.0]), ("y", "t", None), ("z", "t", [])], CHUNKS)
-    for limit in (10, 0):
-        got = search.top_k(q, c, 2, max_broadcast=limit)
+    for size in (1 << 20, 1):
+        got = search.top_k(q, c, 2, slice_bytes=size)
         assert [(r["question_id"], r["chunk_id"]) for r in got.collect()] == [("a", "x")]
 
 
