@@ -377,6 +377,17 @@ SELECT question_id, {STATUS} AS status, {ANSWER} AS answer, CAST(n AS INT) AS n_
     ) + ") SELECT slug, label, count(*) AS n FROM documents JOIN t ON doc_id % 6 = no GROUP BY slug, label",
     "split_text_udtf": f"""WITH RECURSIVE source AS (SELECT doc_id, text AS body FROM documents), {recursive_chunks('source', 'doc_id')}
 SELECT doc_id, chunk_index, content FROM pieces""",
+    "full_ingest": f"""WITH RECURSIVE {RAW},
+good AS (SELECT *, md5(url) AS article_id FROM raw WHERE content <> '' AND url <> '' AND title IS NOT NULL AND parsed IS NOT NULL),
+later AS (SELECT good.* FROM good JOIN accepted USING (topic, page)),
+landed AS (SELECT article_id, content AS body, '2024-06-02 00:00:00' AS fetched_at FROM later
+  UNION ALL SELECT article_id, content, '2024-06-01 00:00:00' FROM good
+  WHERE number % 5 <> 4 AND article_id NOT IN (SELECT article_id FROM later)),
+{recursive_chunks('landed', 'article_id')},
+chunked AS (SELECT article_id || '-' || chunk_index AS chunk_id, article_id, chunk_index, content FROM pieces),
+{counts('ctf', 'chunked', 'chunk_id', 'content')}
+SELECT chunk_id, article_id, CAST(chunk_index AS INT) AS chunk_index, content, fetched_at,
+  CAST((SELECT count(*) FROM ctf WHERE ctf.chunk_id = chunked.chunk_id) AS INT) AS n_dims FROM chunked JOIN landed USING (article_id)""",
     "chunk_documents": f"""WITH RECURSIVE source AS (SELECT doc_id, text AS body FROM documents), {recursive_chunks('source', 'doc_id')}
 SELECT doc_id, chunk_index, content FROM pieces""",
     "page_answers": f"""WITH RECURSIVE {PAGES}, source AS (SELECT page_id, content AS body FROM page_rows WHERE url <> ''),

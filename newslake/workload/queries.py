@@ -613,6 +613,22 @@ def news_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.where("chunk_index = 0").select("article_id", "title", "source", stamp("date").alias("date"), "type")
 
 
+def full_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two news runs a day apart, from landed pages to the chunk table with vectors; every chunk afterwards."""
+    idf = materialise(vectorise.fit_idf(views.table(spark, sf_dir, "documents"), "text"), "idf")
+    index = None
+    for day, stops in enumerate((views.FAILED_TOPICS, views.STOPS), 1):
+        articles = ingest.news_batch(views.newsapi_payloads(spark, sf_dir, stops)).withColumn(
+            "seq", F.struct("topic", "page", "pos")
+        )
+        index = ingest.ingest_to_index(index, articles, F.lit(f"2024-06-{day:02d}").cast("timestamp"), idf)
+        index = materialise(index, "chunks")
+    return index.select(
+        "chunk_id", "article_id", "chunk_index", "content", stamp("fetched_at").alias("fetched_at"),
+        F.size(F.filter("embedding", lambda x: x != 0)).alias("n_dims"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -627,7 +643,7 @@ QUERIES = {
         combine_context, build_cards, card_snippets, trending_tags, prompt_context, articles_by_tag,
         articles_by_tag_listing, ingest_summary, newest_articles, answer_questions, response_status,
         normalize_vectors, hash_vectors, pairwise_similarity, stream_fresh, stream_upsert, stream_trending,
-        scrape_batch, news_batch,
+        scrape_batch, news_batch, full_ingest,
     )
 }
 # Names of the blueprint where they differ from the functions above.
