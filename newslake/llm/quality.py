@@ -5,7 +5,8 @@ number, or the symbols themselves), each hashed to one of ``2 ** BITS`` places.
 scaled to unit length; its score is the logistic function of a sparse dot product.
 
 Training uses a bounded sample, ``SAMPLE_ROWS`` labelled rows of the training folds chosen by a hash of their ids. They
-are dealt to ``SHARDS`` learners, each bounded too, whose weights are averaged.
+are dealt to ``SHARDS`` learners, each bounded too, whose weights are averaged; a logistic fit of slope and offset on
+the same rows brings the averaged weights to scale.
 
 Cases: null and empty texts have no features and score by the bias alone. Without labels every score is one half.
 Of several labels of an id the largest counts. Null labels and ids are not learned from. Repeated rows score alike.
@@ -142,30 +143,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         rows.groupBy("shard").applyInPandas(train_shard, "place long, weight double")
         .groupBy("place").agg((F.sum("weight") / SHARDS).alias("weight")).toPandas()  # at most 2 ** BITS rows
     )
-    out = np.zeros(1 << BITS, np.float32)
+    out = np.zeros(1 << BITS)
     out[weights["place"].to_numpy(np.int64)] = weights["weight"]
-    return out
-
-
-def score_quality(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id held_out score predicted`` for every row."""
-    named = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    if not len(weights):
+        return out.astype(np.float32)
+    seen = margins(rows.select("label", "text"), out.astype(np.float32)).select("label", "margin").toPandas()
+    slope, offset = calibration(seen["margin"].to_numpy(), seen["label"].to_numpy() > 0)
+    out *= slope
+    out[0] += offset
+    return out.astype(np.float32)
+
+
+def calibration(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit: averaging shrinks the weights of what few learners have seen."""
+    a, b, y = 1.0, 0.0, good.astype(float)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -50, 50)))
+        v = p * (1 - p) + 1e-9
+        g = np.array([((p - y) * margin).sum() + 1e-2 * (a - 1), (p - y).sum() + 1e-2 * b])
+        h = np.array([[(v * margin**2).sum() + 1e-2, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-2]])
+        step = np.linalg.solve(h, g)
+        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
+    return float(max(a, 1e-3)), float(b)
+
+
+def margins(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``texts`` with ``margin``, the dot product, in place of ``text``."""
+    other = [c for c in texts.columns if c != "text"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = TokenHashes()
         for batch in batches:
             found = []
-            for body in batch["_text"]:
+            for body in batch["text"]:
                 places, values = features(body, known)
-                found.append(logistic(float(weights[places] @ values)))
-            yield pd.DataFrame({"_id": batch["_id"], "score": found})
+                found.append(float(weights[places] @ values))
+            yield batch[other].assign(margin=found)
+
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name != "text"]
+    return texts.mapInPandas(score, ", ".join([*schema, "margin double"]))
 
-    kind = named.schema["_id"].dataType.simpleString()
-    scored = named.mapInPandas(score, f"_id {kind}, score double")
+
+def score_quality(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id held_out score predicted`` for every row."""
+    scored = margins(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), weights)
+    bounded = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), "margin"))
     return scored.select(
-        F.col("_id").alias(doc_id), held_out("_id").alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+        F.col("_id").alias(doc_id), held_out("_id").alias("held_out"), (1 / (1 + F.exp(-bounded))).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
