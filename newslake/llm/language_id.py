@@ -51,7 +51,7 @@ def page_text(html: str | None) -> bytes:
 
 
 def declared_language(html: str | None) -> str | None:
-    found = DECLARED.search((html or "")[:4096]) or DECLARED.search(html or "")
+    found = DECLARED.search(html or "")
     return (found[1] or found[2]).lower() if found else None
 
 
