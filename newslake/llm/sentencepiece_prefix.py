@@ -6,9 +6,9 @@ table holds that token for each prefix of a run of text. Candidates are the piec
 matches); the right one is the one that is compatible with the last token of the prefix before it, that is, the pair
 of both is its own encoding. Ids are then read from the end backwards. Time is linear in the length of the run.
 
-No piece has a word mark behind another character, so a run ends before every mark that follows another character;
-neither has any piece a line feed or another character outside the model's own, so those are runs too. Both are read
-off the model. Runs that occur again are remembered, up to a bound.
+A run ends where no piece could cross: before a word mark that follows another character, around a line feed, and
+where symbols meet letters or digits, as far as the model's pieces keep them apart. All of that is read off the model.
+Runs that occur again are remembered, up to a bound.
 
 Cases: null counts as empty; an empty text has no ids and decodes to an empty text. Characters that the model lacks
 become bytes. Word marks in a text are encoded like blanks, as the library does, and decode to blanks.
@@ -79,7 +79,18 @@ class PrefixEncoder:
         self.histories: dict[int, tuple[list, list] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[str, bytes, bytes]] = {}
-        self.split = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
+        self.id_text = [str(i) for i in range(len(self.names))]
+        alone = re.escape("".join(sorted(self.symbols_apart()))) or MARK
+        letters, end = r"[^\W_]", f"{MARK}\n"
+        # A word up to a symbol or an end, symbols up to a word or an end, or all up to an end.
+        self.split = re.compile(
+            f"{MARK}*+{letters}++(?=[{alone}{end}]|$)|{MARK}*+[{alone}]++(?={letters}|[{end}]|$)|{MARK}*+[^{end}]++|{MARK}++|\n"
+        ).findall
+
+    def symbols_apart(self) -> set[str]:
+        """Characters that no piece has next to a letter or digit; a run may end where they meet."""
+        bound = {x for p in self.ids for a, b in zip(p, p[1:]) if a.isalnum() != b.isalnum() for x in (a, b)}
+        return {p for p in self.ids if len(p) == 1 and not p.isalnum() and p not in (MARK, "_") and p not in bound}
 
     def merges(self, text: str) -> tuple[list[str], list[tuple[float, int, int, str]]]:
         """The definition: join the best neighbouring pair, the left one of equals, until none is a piece.
@@ -200,7 +211,7 @@ class PrefixEncoder:
         found = self.known.get(run)
         if found is None:
             ids = self.encode_run(run)
-            found = ",".join(map(str, ids)), self.decode_ids(ids), array("i", ids).tobytes()
+            found = ",".join(map(self.id_text.__getitem__, ids)), self.decode_ids(ids), array("i", ids).tobytes()
             if len(run) <= LONG_RUN:
                 if len(self.known) >= REMEMBERED_RUNS:
                     self.known.clear()
