@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.llm.common import table
 from newslake.session import materialise
@@ -35,7 +35,7 @@ SIDE = 16  # half keys of either collection
 ROWS = 3  # minhashes of a half key
 SEED = 20240229
 BLOCK = 2048  # members of a cluster that one task compares with as many others
-BLOCK_SHINGLES = 2_000_000  # and their shingles
+BLOCK_SHINGLES = 1_000_000  # and their shingles
 KNOWN_WORDS = 300_000  # hashes of words that a task remembers
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -173,9 +173,8 @@ def spanning_links(nodes: list[int], sets: list[np.ndarray], threshold: int) ->
     """Links that connect what all links among the sets connect."""
     if len(nodes) < 2:
         return []
-    size = np.array([len(s) for s in sets], np.float32)
-    both = common_counts(sets)
-    linked = 100 * both.astype(np.float64) >= threshold * (size[:, None] + size[None, :] - both)
+    size = np.array([len(s) for s in sets], np.float64)
+    both = common_counts(sets)  # exact up to 2 ** 24
     fresh, out = np.ones(len(nodes), bool), []
     for root in range(len(nodes)):
         if not fresh[root]:
@@ -183,7 +182,8 @@ def spanning_links(nodes: list[int], sets: list[np.ndarray], threshold: int) ->
         fresh[root], stack = False, [root]
         while stack:
             u = stack.pop()
-            found = np.flatnonzero(linked[u] & fresh)
+            common = both[u].astype(np.float64)
+            found = np.flatnonzero(fresh & (100 * common >= threshold * (size[u] + size - common)))
             fresh[found] = False
             out += [(nodes[u], nodes[v]) for v in found]
             stack += found.tolist()
