@@ -11,6 +11,8 @@ from newslake.llm import (
     quality,
     secret_scan,
     sentencepiece_prefix,
+    shallot,
+    spelling_variants,
     toxicity,
     url_filter,
 )
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_templates": line_templates.op9_line_templates,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_centroids": shallot.op11_centroids,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 ORACLES = {
     "op1_line_frequency": line_frequency.SQL,
@@ -33,4 +37,6 @@ ORACLES = {
     "op7_near_dedup": near_dedup.SQL,
     "op9_line_templates": line_templates.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_centroids": shallot.SQL,
+    "op13_spelling_variants": spelling_variants.SQL,
 }
