@@ -8,6 +8,7 @@ from newslake.llm import (
     line_frequency,
     line_templates,
     near_dedup,
+    page_slots,
     quality,
     secret_scan,
     sentencepiece_prefix,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_line_templates": line_templates.op9_line_templates,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_centroids": shallot.op11_centroids,
+    "op12_page_slots": page_slots.op12_page_slots,
     "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 ORACLES = {
