@@ -9,7 +9,7 @@ from newslake.llm import decontaminate, line_frequency, line_templates, near_ded
 from newslake.llm.decontaminate import decontaminate as clean
 
 DOCS = "doc_id long, text string, source string, n_words string"  # one column clashes with an output
-TABLES = "documents pages benchmark".split()
+TABLES = "documents pages benchmark embeddings".split()
 
 
 @pytest.fixture(scope="module")
