@@ -408,6 +408,8 @@ FROM hits JOIN records USING (chunk_id) WHERE rank <= 8""",
   '2024-06-01 00:00:00' AS fetched_at, type FROM docs WHERE {strip('content')} <> ''""",
     "stored_articles": f"SELECT count(*) AS stored FROM documents WHERE doc_id % 6 <> 0 AND {strip('text')} <> ''",
     "topk_cosine": f"WITH {DOCS}, {DENSE}, {nearest(8)} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, distance FROM hits",
+    "topk_cells": f"WITH {DOCS}, {DENSE}, {nearest(8)} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, distance FROM hits",
+    "ivf_recall": f"WITH {DOCS}, {DENSE}, {nearest(8)} SELECT count(*) AS n_wanted, TRUE AS reached FROM hits",
     "topk_online": f"""WITH {DOCS}, {DENSE}, {nearest(4, "type = 'online'")} SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, distance FROM hits""",
     "chat_context": f"""WITH {DOCS}, {DENSE}, {nearest(3, "type = 'chat'")} SELECT question_id, CAST(rank AS INT) AS rank, content, title,
   {stamp('date')} AS date FROM hits JOIN chunks USING (chunk_id)""",

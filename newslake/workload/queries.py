@@ -21,7 +21,7 @@ from newslake.functions.text import (
     split_tags,
     tag_union,
 )
-from newslake.operators import chunking, context, neighbours, search, summary, tagging, upsert, vectorise
+from newslake.operators import cells, chunking, context, neighbours, search, sparse, summary, tagging, upsert, vectorise
 from newslake.operators.dedupe import dedupe
 from newslake.plans import answer, ingest
 from newslake.session import materialise, new_folder
@@ -380,10 +380,27 @@ def tag_join_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topk_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = views.doc_windows(spark, sf_dir).select("chunk_id", "content")
-    idf = materialise(vectorise.fit_idf(windows), "idf")
-    chunks = vectorise.vectorise(windows, idf)
-    questions = answer.embed_questions(views.user_turns(spark, sf_dir), idf)
-    return search.top_k(questions, chunks)
+    counted = materialise(sparse.term_counts(windows), "counts")
+    idf = materialise(sparse.idf_of_counts(counted), "idf")
+    questions = sparse.term_counts(views.user_turns(spark, sf_dir), "query")
+    return sparse.top_k_sparse(sparse.weigh(questions, idf), sparse.weigh(counted, idf))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> cells.CellIndex:
+    return cells.build_cells(views.chunk_vectors(spark, sf_dir).select("chunk_id", "embedding"))
+
+
+def topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search over chunks stored by cell."""
+    return cells.search_cells(_cells(spark, sf_dir), views.vector_questions(spark, sf_dir), exact=True)
+
+
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of the nearest cells only, for all questions, against the exact one."""
+    index, questions = _cells(spark, sf_dir), views.vector_questions(spark, sf_dir)
+    found = cells.search_cells(index, questions, probes=cells.probes_for(index, questions))
+    both = cells.recall(found, search.top_k(questions, views.chunk_vectors(spark, sf_dir)))
+    return both.select("n_wanted", (F.col("n_found") >= cells.TARGET_RECALL * F.col("n_wanted")).alias("reached"))
 
 
 def topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -529,8 +546,9 @@ def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = vectorise.vectorise(docs, vectorise.fit_idf(docs, "text"), "text")
-    return vectorise.sparse_terms(vectors, "doc_id").withColumn("weight", F.round("weight", 6))
+    counted = materialise(sparse.term_counts(docs, "text"), "counts")
+    rows = sparse.postings(sparse.weigh(counted, sparse.idf_of_counts(counted)), "doc_id")
+    return rows.withColumn("weight", F.round("weight", 6))
 
 
 def pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -639,7 +657,7 @@ QUERIES = {
         parse_chunk_ids, chat_records, extract_answers, recent_articles, export_documents, import_documents, chunk_documents,
         split_text_udtf,
         chunk_coverage, chunk_fixed, chunk_records, stored_articles, topk_cosine, topk_online, chat_context,
-        neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_lsh, dedupe_articles, upsert_chunks,
+        neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_cells, ivf_recall, topk_lsh, dedupe_articles, upsert_chunks,
         combine_context, build_cards, card_snippets, trending_tags, prompt_context, articles_by_tag,
         articles_by_tag_listing, ingest_summary, newest_articles, answer_questions, response_status,
         normalize_vectors, hash_vectors, pairwise_similarity, stream_fresh, stream_upsert, stream_trending,
