@@ -48,18 +48,22 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 class _Best:
     """The ``k`` best chunks per question seen so far."""
 
-    def __init__(self, questions: np.ndarray, k: int, bounds: np.ndarray | None = None):
-        """``bounds``: distances that the k-th best of each question is known not to exceed."""
-        self.questions, self.k = questions, k
+    def __init__(
+        self, questions: np.ndarray, k: int, bounds: np.ndarray | None = None, asked_at: np.ndarray | None = None
+    ):
+        """``bounds``: distances that the k-th best of each question is known not to exceed. ``asked_at``: times, for
+        chunks that come with the time they were stored at; a question sees those stored before it."""
+        self.questions, self.k, self.asked_at = questions, k, asked_at
         self.limit = np.full(len(questions), np.inf) if bounds is None else bounds.copy()
         self.q = np.zeros(0, dtype=np.int64)
         self.distance = np.zeros(0)
         self.ids: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, rows: np.ndarray, stored_at: np.ndarray | None = None) -> None:
         order = np.argsort(ids, kind="stable")
         ids, rows = ids[order], rows[order]
-        found = [self._tile(ids[a:a + TILE], rows[a:a + TILE], b)
+        stored_at = None if stored_at is None else stored_at[order]
+        found = [self._tile(ids[a:a + TILE], rows[a:a + TILE], b, None if stored_at is None else stored_at[a:a + TILE])
                  for a in range(0, len(ids), TILE) for b in range(0, len(self.questions), TILE)]
         q, distance, new_ids = (np.concatenate(parts) for parts in zip(*found))
         if self.ids is not None:
@@ -76,9 +80,11 @@ class _Best:
         full = held == self.k
         self.limit[full] = np.minimum(self.limit[full], self.distance[last[full]])
 
-    def _tile(self, ids: np.ndarray, rows: np.ndarray, b: int):
+    def _tile(self, ids: np.ndarray, rows: np.ndarray, b: int, stored_at: np.ndarray | None):
         """Rows that may enter the best of a question; ties at the edge go to the lowest ids."""
         d = np.round(1.0 - self.questions[b:b + TILE] @ rows.T, DISTANCE_DIGITS) + 0.0
+        if stored_at is not None:
+            d[stored_at >= self.asked_at[b:b + TILE, None]] = np.inf
         limit = self.limit[b:b + TILE]
         if d.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
@@ -86,7 +92,7 @@ class _Best:
         if below.sum() > 4 * self.k * len(d):
             tie = d == limit[:, None]
             below &= ~tie | (np.cumsum(tie, axis=1) <= self.k)
-        q, c = np.nonzero(below)
+        q, c = np.nonzero(below & np.isfinite(d))
         return q + b, d[q, c], ids[c]
 
 

@@ -298,6 +298,41 @@ BROKEN = DOCS + ", " + GITHUB + """, every AS (
   UNION ALL SELECT url, CASE WHEN ltrim(lower(substr(html, 1, 200))) LIKE '<?xml%' OR contains(lower(substr(html, 1, 200)), '<rss')
     OR contains(lower(substr(html, 1, 200)), '<feed') THEN 'feed' ELSE 'html' END, page_id FROM pages)"""
 
+# Every user turn with the index as it was: chunks of documents, and of the turns that were answered before.
+LOOP = f"""turns AS (
+  SELECT u.conv_id || ':' || u.turn AS question_id, u.text AS question, u.conv_id, u.turn,
+    TIMESTAMP '2024-02-01' + to_hours(u.conv_id) + to_minutes(u.turn) AS asked_at,
+    CASE WHEN u.conv_id % 3 <> 0 THEN ['src' || u.conv_id % 20, 'src' || u.turn % 20] ELSE [] END AS topics,
+    CAST(DATE '2024-01-01' + CAST(u.conv_id % 30 AS INT) AS DATE) AS day, TRUE AS llm,
+    CASE WHEN (a.conv_id + a.turn) % 3 = 0 THEN a.text WHEN (a.conv_id + a.turn) % 7 = 0 THEN CAST(json_array(a.text) AS VARCHAR)
+      ELSE {strip('a.text')} END AS reply
+  FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+held AS (
+  SELECT article_id AS art, title, source, url, date, content, type, CAST(NULL AS TIMESTAMP) AS stored_at FROM docs
+  UNION ALL SELECT md5(question || question_id), 'Q: ' || substr(question, 1, 100), 'ChatHistory', '', asked_at + INTERVAL 1 MINUTE,
+    'Q: ' || question || chr(10) || 'A: ' || substr(reply, 1, 500), 'chat', asked_at + INTERVAL 1 MINUTE
+  FROM turns WHERE reply IS NOT NULL),
+source AS (SELECT art, content AS body FROM held),
+{recursive_chunks('source', 'art')},
+chunks AS (SELECT p.art || '-' || p.chunk_index AS chunk_id, p.art, p.content, h.* EXCLUDE (art, content), {tag_list("lower(h.content || ' ' || h.title)", PROSE_KEYWORDS)} AS tags
+  FROM pieces p JOIN held h USING (art)),
+doc_chunks AS (SELECT chunk_id, content FROM chunks WHERE stored_at IS NULL),
+{counts('dtf', 'doc_chunks', 'chunk_id', 'content')}, {idf('dtf', 'doc_chunks', 'chunk_id')},
+{counts('ctf', 'chunks', 'chunk_id', 'content')}, {weights('cw', 'ctf', 'chunk_id')},
+cws AS MATERIALIZED (SELECT cw.*, stored_at FROM cw JOIN chunks USING (chunk_id)),
+expanded AS (SELECT question_id, asked_at, question || CASE WHEN len(topics) > 0 THEN ' | ' || array_to_string(topics, ', ') ELSE '' END AS text FROM turns),
+{counts('etf', 'expanded', 'question_id', 'text')}, {weights('ew', 'etf', 'question_id')},
+{counts('qtf', 'turns', 'question_id', 'question')}, {weights('qw', 'qtf', 'question_id')},
+found AS (
+  SELECT question_id, chunk_id, round(1 - sum(ew.weight * cws.weight), 6) + 0.0 AS distance
+  FROM ew JOIN turns USING (question_id) JOIN cws USING (dim) WHERE stored_at IS NULL OR stored_at < asked_at GROUP BY ALL),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank FROM found) WHERE rank <= 8),
+recalled AS (
+  SELECT question_id, chunk_id, round(1 - sum(qw.weight * cws.weight), 6) + 0.0 AS distance
+  FROM qw JOIN turns USING (question_id) JOIN cws USING (dim) WHERE stored_at < asked_at GROUP BY ALL),
+past AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, chunk_id) AS rank FROM recalled) WHERE rank <= 2)"""
+
 ORACLES = {
     "newsapi_normalize": f"""WITH {RAW} SELECT topic, CAST(page AS INT) AS page, CAST(pos AS INT) AS pos, md5(url) AS article_id,
   title, 'NewsAPI' AS source, published AS date, content, url, CAST(NULL AS VARCHAR) AS author
@@ -486,6 +521,29 @@ items AS (
 lists AS (SELECT question_id, count(*) AS n, string_agg(title || '|' || source || '|' || date || '|' || snippet || '|' || url || '|' || tags,
   chr(10) ORDER BY group_no, pos) AS cards FROM cards GROUP BY question_id)
 SELECT question_id, {STATUS} AS status, {ANSWER} AS answer, CAST(n AS INT) AS n_cards, coalesce(trending, '') AS trending, cards, context
+FROM asked JOIN lists USING (question_id) JOIN contexts USING (question_id) LEFT JOIN trends USING (question_id)""",
+    "chat_history": f"""WITH RECURSIVE {DOCS}, {LOOP}
+SELECT question_id, CAST(rank AS INT) AS rank, art AS article_id, content, {stamp('stored_at')} AS stored_at, distance
+FROM past JOIN chunks USING (chunk_id)""",
+    "chat_turns": f"""WITH RECURSIVE {TOP}, {LOOP}, {WANTED}, {STORIES},
+asked AS (SELECT * FROM turns),
+news AS (SELECT topic, topic_rank, coalesce(title, '') AS title, coalesce(source_name, 'NewsAPI') AS source, date,
+  CASE WHEN contains(content, '<') THEN {markdown('content')} ELSE content END AS content, url
+  FROM top WHERE url <> '' AND content <> ''),
+met AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY no, topic_rank) AS n, news.*, source || chr(31) || title AS k
+  FROM (SELECT question_id, unnest(topics) AS topic, generate_subscripts(topics, 1) AS no FROM asked) JOIN news USING (topic)),
+{walk('met', 'question_id')},
+fresh AS (SELECT met.*, row_number() OVER (PARTITION BY question_id ORDER BY n) - 1 AS pos FROM met JOIN walk USING (question_id, n) WHERE keep),
+items AS (
+  SELECT question_id, 0 AS group_no, rank AS pos, title, source, {ISO} AS date, content, url, tags FROM hits JOIN chunks USING (chunk_id)
+  UNION ALL SELECT question_id, 1, pos, title, source, {ISO}, content, url, tags FROM neighbours JOIN chunks USING (chunk_id)
+  UNION ALL SELECT question_id, 2, pos, title, source, {ISO}, content, url, topic FROM fresh
+  UNION ALL SELECT question_id, 3, feed_rank, title, source, {ISO}, content, url, '' FROM asked JOIN stories USING (day)
+  UNION ALL SELECT question_id, 4, rank, title, 'ChatHistory', {ISO}, content, '', '' FROM past JOIN chunks USING (chunk_id)),
+{CARDS}, {TRENDS}, {CONTEXTS},
+lists AS (SELECT question_id, count(*) AS n, string_agg(title || '|' || source || '|' || date || '|' || snippet || '|' || url || '|' || tags,
+  chr(10) ORDER BY group_no, pos) AS cards FROM cards GROUP BY question_id)
+SELECT question_id, {STATUS} AS status, {ANSWER} AS answer, CAST(n AS INT) AS n_cards, coalesce(trending, '') AS trending, cards, context
 FROM asked JOIN lists USING (question_id) JOIN contexts USING (question_id) LEFT JOIN trends USING (question_id)""",
     "normalize_vectors": """SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INT) AS dim,
   round(unnest(list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))), 6) + 0.0 AS value

@@ -492,23 +492,23 @@ def newest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.newest(views.docs(spark, sf_dir), 30).select("article_id", "title", stamp("date").alias("date"))
 
 
-def _answer_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    questions = views.asked(spark, sf_dir)
-    vectors = views.vector_questions(spark, sf_dir).join(questions.select("question_id"), "question_id", "left_semi")
+def _fresh_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     pages = views.newsapi_payloads(spark, sf_dir, views.FAILED_TOPICS)
     top = newsapi.newest_per_topic(pages, last_date(views.docs(spark, sf_dir)))
     # Within a question the topics' own articles are deduped; the news of one topic arrive in rank order.
     news = newsapi.clean_fresh(top, "topic", "topic_rank")
     stories = hackernews.recent_stories(views.hn_items(spark, sf_dir), views.snapshot_time())
-    items = answer.question_context(
-        questions, vectors, views.chunk_vectors(spark, sf_dir), materialise(news, "news"), materialise(stories, "stories")
-    )
+    return materialise(news, "news"), materialise(stories, "stories")
+
+
+def _answer_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    questions = views.asked(spark, sf_dir)
+    vectors = views.vector_questions(spark, sf_dir).join(questions.select("question_id"), "question_id", "left_semi")
+    items = answer.question_context(questions, vectors, views.chunk_vectors(spark, sf_dir), *_fresh_parts(spark, sf_dir))
     return questions, items
 
 
-def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, items = _answer_context(spark, sf_dir)
-    out = answer.answer_questions(questions, items)
+def _shown_answers(out: DataFrame) -> DataFrame:
     return out.select(
         "question_id", "status", "answer", "n_cards", join_tags(F.col("trending")).alias("trending"),
         F.array_join(F.transform("cards", lambda c: F.concat_ws("|", c["title"], c["source"], c["date"], c["snippet"], c["url"], join_tags(c["tags"]))), "\n").alias("cards"),
@@ -516,6 +516,36 @@ def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, items = _answer_context(spark, sf_dir)
+    return _shown_answers(answer.answer_questions(questions, items))
+
+
+def _question_loop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Only answered turns are chats here; the documents of that type count as batch articles."""
+    questions = materialise(views.turn_questions(spark, sf_dir), "turns")
+    docs = views.docs(spark, sf_dir).replace("chat", "batch", "type")
+    chunks = materialise(chunking.chunk_records(docs, fetched(), keywords=views.PROSE_KEYWORDS), "records")
+    idf = materialise(sparse.idf_of_counts(materialise(sparse.term_counts(chunks.select("chunk_id", "content")), "counts")), "idf")
+    chats = materialise(answer.chat_chunks(questions, F.col("question_id"), views.PROSE_KEYWORDS), "chats")
+    news, stories = _fresh_parts(spark, sf_dir)
+    past, items = answer.question_loop(questions, chunks, chats, idf, news, stories)
+    return questions, chats, past, items
+
+
+def chat_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier answered questions that each user turn finds, in any conversation: those stored before it was asked."""
+    questions, chats, past, _ = _question_loop(spark, sf_dir)
+    found = search.fetch(past, chats.select("chunk_id", "article_id", "content", "stored_at"), ["chunk_id"])
+    return found.select("question_id", "rank", "article_id", "content", stamp("stored_at").alias("stored_at"), "distance")
+
+
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole loop for all user turns: expanded questions, the index as of each turn, answers stored and found again."""
+    questions, _, _, items = _question_loop(spark, sf_dir)
+    return _shown_answers(answer.answer_questions(questions, items))
+
+
 def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the questions have items; statuses and answers of all."""
     n = F.col("doc_id")
@@ -659,7 +689,7 @@ QUERIES = {
         chunk_coverage, chunk_fixed, chunk_records, stored_articles, topk_cosine, topk_online, chat_context,
         neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_cells, ivf_recall, topk_lsh, dedupe_articles, upsert_chunks,
         combine_context, build_cards, card_snippets, trending_tags, prompt_context, articles_by_tag,
-        articles_by_tag_listing, ingest_summary, newest_articles, answer_questions, response_status,
+        articles_by_tag_listing, ingest_summary, newest_articles, answer_questions, chat_history, chat_turns, response_status,
         normalize_vectors, hash_vectors, pairwise_similarity, stream_fresh, stream_upsert, stream_trending,
         scrape_batch, news_batch, full_ingest,
     )

@@ -290,3 +290,22 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select(
         "conv_id", "turn", raw.alias("raw")
     )
+
+
+def turn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn as a question of its conversation's hour; the reply that follows is the model's raw answer."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    replies = model_replies(spark, sf_dir).select("conv_id", (turn - 1).alias("turn"), F.col("raw").alias("raw_answer"))
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").join(replies, ["conv_id", "turn"], "left")
+    topics = F.array(F.concat(F.lit("src"), (conv % 20).cast("string")), F.concat(F.lit("src"), (turn % 20).cast("string")))
+    time = F.timestamp_seconds(F.lit(1706745600) + conv * 3600 + turn * 60)
+    return asked.select(
+        F.concat_ws(":", conv.cast("string"), turn.cast("string")).alias("question_id"),
+        F.col("text").alias("question"),
+        F.when(conv % 3 != 0, topics).otherwise(F.array().cast("array<string>")).alias("topics"),
+        time.alias("asked_at"),
+        (time + F.make_dt_interval(mins=F.lit(1))).alias("stored_at"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (conv % 30).cast("int")).alias("snapshot"),
+        F.lit(True).alias("llm_configured"),
+        "raw_answer",
+    )
