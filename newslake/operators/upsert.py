@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newslake.operators.ranking import first_per_group
-from newslake.session import new_folder
+from newslake.session import exists, new_folder
+
+BUCKETS = 64  # of a chunk table; a bucket should be a few GB
 
 
 def latest_per_chunk(updates: DataFrame, order: tuple[str, ...] = ("fetched_at",)) -> DataFrame:
@@ -45,3 +47,53 @@ def write_snapshot(chunks: DataFrame, table: str) -> str:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def with_bucket(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``bucket``, a hash of ``article_id``: all chunks of an article share one."""
+    return chunks.withColumn("bucket", F.pmod(F.xxhash64("article_id"), F.lit(buckets)).cast("int"))
+
+
+def read_buckets(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.parquet(table)
+
+
+def unchanged_left_out(updates: DataFrame, table: DataFrame) -> DataFrame:
+    """Records that the table doesn't hold as they are. Only ids and digests of the table's touched buckets move."""
+    columns = sorted(c for c in updates.columns if c in table.columns)
+    digest = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())]).alias("_digest")
+    held = table.select("chunk_id", digest)
+    return updates.select("*", digest).join(held, ["chunk_id", "_digest"], "left_anti").drop("_digest").select(*updates.columns)
+
+
+def upsert_buckets(
+    updates: DataFrame,
+    table: str,
+    order: tuple[str, ...] = ("fetched_at",),
+    buckets: int = BUCKETS,
+    staged: str | None = None,
+) -> list[int]:
+    """Upsert into a chunk table of Parquet files partitioned by ``bucket``; returns the buckets it rewrote.
+
+    Only buckets of articles in ``updates`` are read and, by dynamic partition overwrite, replaced; the files of all
+    others stay. Records that the table holds unchanged are left out first, so the same updates again touch nothing.
+    The new buckets are written to ``staged`` and then put in place: a run that failed in between goes on from
+    there, so a folder for each set of updates makes the upsert repeatable at any point.
+    """
+    spark = updates.sparkSession
+    staged = staged or new_folder(spark, "buckets")
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        batch = with_bucket(latest_per_chunk(updates, order), buckets)
+        if exists(spark, table):
+            named = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            held = read_buckets(spark, table).where(F.col("bucket").isin(named))
+            batch = unchanged_left_out(batch, held)
+            touched = F.broadcast(batch.select("bucket").distinct())
+            batch = upsert_chunks(held.join(touched, "bucket", "left_semi").select(*batch.columns), batch, order)
+        batch.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+    merged = spark.read.schema(with_bucket(updates, buckets).schema).parquet(staged)
+    touched = sorted(r["bucket"] for r in merged.select("bucket").distinct().collect())
+    if touched:
+        by_bucket = merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+        by_bucket.option("partitionOverwriteMode", "dynamic").parquet(table)
+    return touched

@@ -1,38 +1,41 @@
-"""Incremental index: every micro-batch of articles is upserted into a chunk table.
+"""Incremental index: every micro-batch of articles is upserted into the chunk table.
 
-The table is a folder with ``batches`` (a folder for each micro-batch), ``bases`` (a folder for each compaction, named
-by the last batch it holds) and ``manifest`` (a row for each finished compaction). A reader takes the newest base of
-the manifest and the batches after it, so it goes on through compactions and never sees half of one.
+The table is Parquet, partitioned by a hash of the article, and any Spark reader can read it. Each micro-batch is
+deduped, cut into chunk records and checked against the table: records that it holds unchanged go, and the others
+replace or join those of their buckets. Buckets without new records keep their files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newslake.operators.chunking import chunk_records
 from newslake.operators.dedupe import dedupe
-from newslake.operators.ranking import first_per_group
-from newslake.session import exists, materialise, remove, work_of_a_run
+from newslake.operators.upsert import BUCKETS, upsert_buckets
+from newslake.session import materialise, remove, work_of_a_run
 
 
-def batch_records(articles: DataFrame, batch: int, fetched_at: str = "fetched_at") -> DataFrame:
-    """Deduped chunk records of one micro-batch, stamped with its number."""
-    unique = dedupe(articles)
-    return chunk_records(unique, F.col(fetched_at)).withColumn("batch", F.lit(batch).cast("bigint"))
+def batch_records(articles: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
+    """Deduped chunk records of one micro-batch."""
+    return chunk_records(dedupe(articles), F.col(fetched_at))
 
 
-def start_index(articles: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write the records of each micro-batch to its own folder of ``table``.
+def start_index(articles: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Upsert each micro-batch into ``table``.
 
-    A batch that is run again after a failure replaces its own folder, so every batch counts once. The source is
-    read once for each batch; what dedupe needs of it is written and goes when the records are.
+    The source is read once for each batch; what a batch needs on the way is written and goes when it ends. Its new
+    buckets are staged under its number next to the checkpoint, so a batch that is run again after a failure, even one
+    that had begun to replace buckets, ends in the same table.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        with work_of_a_run(batch.sparkSession, "micro-batch"):
-            landed = materialise(batch, "landed")
-            batch_records(landed, number).drop("batch").write.mode("overwrite").parquet(f"{table}/batches/batch={number}")
+        spark = batch.sparkSession
+        staged = f"{checkpoint}/staged/batch={number}"
+        with work_of_a_run(spark, "micro-batch"):
+            records = materialise(batch_records(materialise(batch, "landed")), "records")
+            upsert_buckets(records, table, buckets=buckets, staged=staged)
+        remove(spark, f"{checkpoint}/staged/batch={number - 1}")
 
     return (
         articles.writeStream.foreachBatch(write)
@@ -40,54 +43,3 @@ def start_index(articles: DataFrame, table: str, checkpoint: str) -> StreamingQu
         .trigger(availableNow=True)
         .start()
     )
-
-
-def _last_base(spark: SparkSession, table: str) -> int | None:
-    if not exists(spark, f"{table}/manifest"):
-        return None
-    return spark.read.schema("upto BIGINT").parquet(f"{table}/manifest").agg(F.max("upto")).first()[0]
-
-
-def _rows(spark: SparkSession, table: str, base: int | None) -> DataFrame:
-    """Records of the base and of the batches after it; those of the base count as its last batch."""
-    rows = spark.read.parquet(f"{table}/batches").withColumn("batch", F.col("batch").cast("bigint"))
-    if base is None:
-        return rows
-    held = spark.read.parquet(f"{table}/bases/upto={base}").withColumn("batch", F.lit(base).cast("bigint"))
-    return rows.where(F.col("batch") > base).unionByName(held)
-
-
-def read_index(spark: SparkSession, table: str) -> DataFrame:
-    """Current chunks: per id the record of the last batch."""
-    rows = _rows(spark, table, _last_base(spark, table))
-    return first_per_group(rows, ["chunk_id"], [F.col("batch").desc()], 1, rank="_rank").drop("_rank", "batch")
-
-
-def compact_index(spark: SparkSession, table: str) -> int | None:
-    """Fold the batches so far into a new base, grouped by ``type``, and return its last batch.
-
-    The base is written before the manifest names it. Batches and bases are left for readers that hold them;
-    ``drop_compacted`` removes them.
-    """
-    base = _last_base(spark, table)
-    last = spark.read.parquet(f"{table}/batches").agg(F.max("batch").cast("bigint")).first()[0]
-    if last is None or last == base:
-        return base
-    rows = _rows(spark, table, base).where(F.col("batch") <= last)
-    current = first_per_group(rows, ["chunk_id"], [F.col("batch").desc()], 1, rank="_rank").drop("_rank", "batch")
-    current.write.mode("overwrite").partitionBy("type").parquet(f"{table}/bases/upto={last}")
-    spark.range(1).select(F.lit(last).cast("bigint").alias("upto")).write.mode("append").parquet(f"{table}/manifest")
-    return last
-
-
-def drop_compacted(spark: SparkSession, table: str) -> None:
-    """Remove the bases before the newest one and the batches it holds, except the last, which keeps the schema."""
-    base = _last_base(spark, table)
-    if base is None:
-        return
-    for (upto,) in spark.read.schema("upto BIGINT").parquet(f"{table}/manifest").distinct().collect():
-        if upto != base:
-            remove(spark, f"{table}/bases/upto={upto}")
-    batches = spark.read.parquet(f"{table}/batches").select(F.col("batch").cast("bigint")).distinct()
-    for (batch,) in batches.where(F.col("batch") < base).collect():
-        remove(spark, f"{table}/batches/batch={batch}")

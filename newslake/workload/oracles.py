@@ -484,6 +484,11 @@ SELECT seq, url, 's' AS source, k AS title FROM o JOIN walk USING (n) WHERE keep
     CASE WHEN doc_id % 2 = 1 THEN '2' || content ELSE content END AS content,
     CASE WHEN doc_id % 2 = 1 THEN '2024-06-02 00:00:00' ELSE '2024-06-01 00:00:00' END AS fetched_at,
     CAST(CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 0 END AS INT) AS seq FROM docs
+  UNION ALL SELECT article_id || '-1', article_id, '2' || content, '2024-06-02 00:00:00', 2 FROM docs WHERE doc_id % 2 = 1""",
+    "upsert_table": f"""WITH {DOCS} SELECT article_id || '-0' AS chunk_id, article_id,
+    CASE WHEN doc_id % 2 = 1 THEN '2' || content ELSE content END AS content,
+    CASE WHEN doc_id % 2 = 1 THEN '2024-06-02 00:00:00' ELSE '2024-06-01 00:00:00' END AS fetched_at,
+    CAST(CASE WHEN doc_id % 2 = 1 THEN 2 ELSE 0 END AS INT) AS seq FROM docs
   UNION ALL SELECT article_id || '-1', article_id, '2' || content, '2024-06-02 00:00:00', 2 FROM docs WHERE doc_id % 2 = 1""",
     "combine_context": f"WITH {ITEMS} SELECT * FROM items",
     "build_cards": f"WITH {ITEMS}, {CARDS} SELECT * FROM cards",
@@ -554,13 +559,16 @@ SELECT doc_id, dim, round(weight, 6) AS weight FROM w""",
   round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "stream_fresh": """SELECT DISTINCT md5('https://events.example.org/' || user_id || '/' || event_type) AS article_id, user_id, event_type FROM events""",
-    "stream_upsert": f"""WITH {DOCS}, landed AS (
+    "stream_upsert": f"""WITH RECURSIVE {DOCS}, landed AS (
   SELECT doc_id % 2 AS part, doc_id, article_id, title, source, content FROM docs
   UNION ALL SELECT 2, doc_id, article_id, substr(content || ' Updated later.', 1, 40), source, content || ' Updated later.' FROM docs WHERE doc_id % 10 = 0),
-unique_rows AS (SELECT * FROM landed QUALIFY row_number() OVER (PARTITION BY part, source, title ORDER BY doc_id) = 1)
-SELECT article_id, title, source, {tag_list("lower(content || ' ' || title)", TAG_KEYWORDS)} AS tags,
-  CASE WHEN length(content) <= 1200 THEN {strip('content')} END AS content
-FROM unique_rows QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY part DESC) = 1""",
+unique_rows AS (
+  SELECT *, part || article_id AS row_id FROM landed QUALIFY row_number() OVER (PARTITION BY part, source, title ORDER BY doc_id) = 1),
+rows_in AS (SELECT row_id, content AS body FROM unique_rows), {recursive_chunks('rows_in', 'row_id')}
+SELECT article_id || '-' || chunk_index AS chunk_id, article_id, CAST(chunk_index AS INT) AS chunk_index, title, source,
+  {tag_list("lower(u.content || ' ' || title)", TAG_KEYWORDS)} AS tags, p.content
+FROM pieces p JOIN unique_rows u USING (row_id)
+QUALIFY row_number() OVER (PARTITION BY article_id, chunk_index ORDER BY part DESC) = 1""",
     "stream_trending": f"""WITH w AS (SELECT date_trunc('day', ts) - to_days(CAST(i AS INT)) AS start, event_type AS tag
   FROM events, (SELECT unnest(range(7)) AS i))
 SELECT {stamp('start')} AS window_start, {stamp('start + INTERVAL 7 DAY')} AS window_end, tag, count(*) AS n FROM w

@@ -414,7 +414,7 @@ def dedupe_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(views.dedupe_input(spark, sf_dir))
 
 
-def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _upsert_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Every document is on file; the odd ones arrive again, changed, two times over."""
     rows = views.docs(spark, sf_dir).select(
         F.concat(F.col("article_id"), F.lit("-0")).alias("chunk_id"), "article_id", "content", "doc_id",
@@ -425,7 +425,22 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fetched_at": F.col("fetched_at") + F.make_dt_interval(days=F.lit(1)),
     })
     new = again.withColumns({"chunk_id": F.concat("article_id", F.lit("-1"))})
-    merged = upsert.upsert_chunks(rows, again.unionByName(new), order=("fetched_at", "seq"))
+    return rows, again.unionByName(new)
+
+
+def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, updates = _upsert_rows(spark, sf_dir)
+    merged = upsert.upsert_chunks(rows, updates, order=("fetched_at", "seq"))
+    return merged.select("chunk_id", "article_id", "content", stamp("fetched_at").alias("fetched_at"), "seq")
+
+
+def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into a table partitioned by bucket, the updates two times over."""
+    rows, updates = _upsert_rows(spark, sf_dir)
+    table = f"{new_folder(spark, 'table')}/chunks"
+    for part in (rows, updates, updates):
+        upsert.upsert_buckets(part, table, order=("fetched_at", "seq"))
+    merged = upsert.read_buckets(spark, table)
     return merged.select("chunk_id", "article_id", "content", stamp("fetched_at").alias("fetched_at"), "seq")
 
 
@@ -616,10 +631,7 @@ def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents land in three parts, the last with changed texts; the index after a compaction between them.
-
-    One row per article, with the text of those that fit in one chunk.
-    """
+    """Documents land in three parts, the last with changed texts; every chunk of the index afterwards."""
     documents = views.table(spark, sf_dir, "documents")
     changed = documents.where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" Updated later.")))
     parts = [documents.where("doc_id % 2 = 0"), documents.where("doc_id % 2 = 1"), changed]
@@ -631,14 +643,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = views.docs(spark, sf_dir).columns
         articles = views.as_articles(stream).select(*columns, fetched().alias("fetched_at"))
         index_stream.start_index(articles, table, f"{folder}/state").awaitTermination()
-        if n == 1:
-            index_stream.compact_index(spark, table)
-            index_stream.drop_compacted(spark, table)
-    chunks = index_stream.read_index(spark, table)
-    first = F.min_by(F.struct("title", "source", "tags", "content"), "chunk_index")
-    return chunks.groupBy("article_id").agg(F.count("*").alias("n"), first.alias("first")).select(
-        "article_id", "first.title", "first.source", join_tags(F.col("first.tags")).alias("tags"),
-        F.when(F.col("n") == 1, F.col("first.content")).alias("content"),
+    return upsert.read_buckets(spark, table).select(
+        "chunk_id", "article_id", "chunk_index", "title", "source", join_tags(F.col("tags")).alias("tags"), "content"
     )
 
 
@@ -687,7 +693,7 @@ QUERIES = {
         parse_chunk_ids, chat_records, extract_answers, recent_articles, export_documents, import_documents, chunk_documents,
         split_text_udtf,
         chunk_coverage, chunk_fixed, chunk_records, stored_articles, topk_cosine, topk_online, chat_context,
-        neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_cells, ivf_recall, topk_lsh, dedupe_articles, upsert_chunks,
+        neighbor_ids, neighbor_chunks, tag_join, tag_join_words, topk_sparse, topk_cells, ivf_recall, topk_lsh, dedupe_articles, upsert_chunks, upsert_table,
         combine_context, build_cards, card_snippets, trending_tags, prompt_context, articles_by_tag,
         articles_by_tag_listing, ingest_summary, newest_articles, answer_questions, chat_history, chat_turns, response_status,
         normalize_vectors, hash_vectors, pairwise_similarity, stream_fresh, stream_upsert, stream_trending,

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import shutil
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from newslake.operators import upsert
 from newslake.schemas import article_columns
 from newslake.streaming import fresh, index, trending
 
@@ -67,15 +69,47 @@ def test_index_upserts_every_batch(spark, tmp_path):
     articles = stream.select("seq", *columns, "fetched_at")
     table, state = str(tmp_path / "table"), str(tmp_path / "state")
     index.start_index(articles, table, state).awaitTermination()
-    got = {r["url"]: (r["content"], r["fetched_at"]) for r in index.read_index(spark, table).collect()}
+    got = {r["url"]: (r["content"], r["fetched_at"]) for r in upsert.read_buckets(spark, table).collect()}
     assert got == {"u1": ("second version", day(1)), "u2": ("other", day(0))}
     index.start_index(articles, table, state).awaitTermination()
-    assert index.read_index(spark, table).count() == 2
-    before = sorted(map(str, index.read_index(spark, table).collect()))
-    assert index.compact_index(spark, table) == 1 == index.compact_index(spark, table)
-    assert sorted(map(str, index.read_index(spark, table).select(*index.read_index(spark, table).columns).collect())) == before
-    index.drop_compacted(spark, table)
-    write_files(spark, tmp_path / "in", [[(5, "u2", "s", "c", "changed after compaction", day(2))]], RAW)
+    assert upsert.read_buckets(spark, table).count() == 2
+    # An article that is known as it is touches nothing; one that changed replaces its chunks.
+    files = sorted(spark.read.parquet(table).inputFiles())
+    write_files(spark, tmp_path / "in", [[(6, "u1", "s", "a", "second version", day(1))]], RAW)
     index.start_index(articles, table, state).awaitTermination()
-    got = {r["url"]: r["content"] for r in index.read_index(spark, table).collect()}
-    assert got == {"u1": "second version", "u2": "changed after compaction"}
+    assert sorted(spark.read.parquet(table).inputFiles()) == files
+    write_files(spark, tmp_path / "in", [[(5, "u2", "s", "c", "changed later", day(2))]], RAW)
+    index.start_index(articles, table, state).awaitTermination()
+    got = {r["url"]: r["content"] for r in upsert.read_buckets(spark, table).collect()}
+    assert got == {"u1": "second version", "u2": "changed later"}
+
+
+def test_a_batch_that_failed_while_buckets_were_replaced_is_repeated(spark, tmp_path):
+    schema = "chunk_id STRING, article_id STRING, content STRING, fetched_at TIMESTAMP"
+    first = [(f"a{i}-0", f"a{i}", "old", day(0)) for i in range(40)]
+    table, staged = str(tmp_path / "table"), str(tmp_path / "staged")
+    upsert.upsert_buckets(spark.createDataFrame(first, schema), table, buckets=8)
+    updates = spark.createDataFrame([(f"a{i}-0", f"a{i}", "new", day(1)) for i in range(3)], schema)
+    touched = upsert.upsert_buckets(updates, table, buckets=8, staged=staged)
+    shutil.rmtree(f"{table}/bucket={touched[0]}")  # as if the run had ended between two buckets
+    assert upsert.upsert_buckets(updates, table, buckets=8, staged=staged) == touched
+    got = {r["article_id"]: r["content"] for r in upsert.read_buckets(spark, table).collect()}
+    assert got == {f"a{i}": "new" if i < 3 else "old" for i in range(40)}
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    schema = "chunk_id STRING, article_id STRING, content STRING, fetched_at TIMESTAMP"
+    rows = [(f"a{i}-{j}", f"a{i}", "old", day(0)) for i in range(60) for j in range(2)]
+    table = str(tmp_path / "table")
+    upsert.upsert_buckets(spark.createDataFrame(rows, schema), table, buckets=16)
+    before = set(spark.read.parquet(table).inputFiles())
+    updates = spark.createDataFrame([("a1-0", "a1", "new", day(1)), ("a1-9", "a1", "more", day(1)), ("a1-0", "a1", "late", day(0))], schema)
+    (bucket,) = upsert.upsert_buckets(updates, table, buckets=16)
+    after = set(spark.read.parquet(table).inputFiles())
+    assert {f for f in before | after if f not in before & after} and all(f"bucket={bucket}/" in f for f in before ^ after)
+    assert upsert.upsert_buckets(updates.where("content != 'late'"), table, buckets=16) == []
+    assert set(spark.read.parquet(table).inputFiles()) == after
+    got = {r["chunk_id"]: r["content"] for r in upsert.read_buckets(spark, table).collect()}
+    assert got == {r[0]: "old" for r in rows} | {"a1-0": "new", "a1-9": "more"}
+    scan = spark.read.parquet(table).where(F.col("bucket").isin([bucket]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan or f"(bucket#" in scan
