@@ -558,7 +558,24 @@ SELECT doc_id, dim, round(weight, 6) AS weight FROM w""",
     "pairwise_similarity": """SELECT a.vec_id AS left_id, b.vec_id AS right_id,
   round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) + 0.0 AS similarity
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "stream_fresh": """SELECT DISTINCT md5('https://events.example.org/' || user_id || '/' || event_type) AS article_id, user_id, event_type FROM events""",
+    "stream_fresh": f"""WITH RECURSIVE arrivals AS (
+  SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 4 + CASE WHEN event_id % 10 = 3 THEN 3 ELSE 0 END AS INT) AS file,
+    md5('https://events.example.org/' || user_id || '/' || event_type) AS article_id, user_id, event_type, min(ts) AS date
+  FROM events GROUP BY ALL),
+batches AS (SELECT file, row_number() OVER (ORDER BY file) AS n, max(max(date)) OVER (ORDER BY file) - INTERVAL 7 DAY AS reached
+  FROM arrivals GROUP BY file),
+-- A batch knows the watermark that the one before it reached; rows are late by the watermark before that.
+marks AS (SELECT file, n, lag(reached) OVER (ORDER BY n) AS mark, lag(reached, 2) OVER (ORDER BY n) AS late FROM batches),
+timely AS (
+  SELECT a.*, m.n, row_number() OVER (PARTITION BY article_id ORDER BY m.n) AS i, coalesce(p.mark, TIMESTAMP '1970-01-01') AS passed
+  FROM arrivals a JOIN marks m USING (file) LEFT JOIN marks p ON p.n = m.n - 1
+  WHERE m.late IS NULL OR date > m.late),
+replay AS (
+  SELECT article_id, i, TRUE AS kept, date + INTERVAL 7 DAY AS expires FROM timely WHERE i = 1
+  UNION ALL
+  SELECT t.article_id, t.i, r.expires <= t.passed, CASE WHEN r.expires <= t.passed THEN t.date + INTERVAL 7 DAY ELSE r.expires END
+  FROM replay r JOIN timely t ON t.article_id = r.article_id AND t.i = r.i + 1)
+SELECT file, article_id, user_id, event_type, {stamp('date')} AS date FROM timely JOIN replay USING (article_id, i) WHERE kept""",
     "stream_upsert": f"""WITH RECURSIVE {DOCS}, landed AS (
   SELECT doc_id % 2 AS part, doc_id, article_id, title, source, content FROM docs
   UNION ALL SELECT 2, doc_id, article_id, substr(content || ' Updated later.', 1, 40), source, content || ' Updated later.' FROM docs WHERE doc_id % 10 = 0),

@@ -613,13 +613,16 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as arrivals of articles, one per user and kind; the window is longer than the data."""
-    url = F.concat(F.lit("https://events.example.org/"), F.col("user_id").cast("string"), F.lit("/"), "event_type")
-    arrivals = _event_stream(spark, sf_dir).withColumn("article_id", article_id(url))
-    unique = fresh_stream.fresh_stream(arrivals, "40 days").select("article_id", "user_id", "event_type")
+    """Arrivals file by file with the window of seven days: late ones are dropped, and an article counts again when
+    its window has passed."""
+    arrivals = materialise(views.event_arrivals(spark, sf_dir), "arrivals")
     folder = new_folder(spark, "fresh")
-    fresh_stream.run_to_files(unique, f"{folder}/out", f"{folder}/state")
-    return spark.read.schema("article_id STRING, user_id BIGINT, event_type STRING").parquet(f"{folder}/out")
+    for n in sorted(r["file"] for r in arrivals.select("file").distinct().collect()):
+        arrivals.where(F.col("file") == n).coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    stream = fresh_stream.file_stream(spark, f"{folder}/landed", arrivals.schema, files_per_trigger=1)
+    fresh_stream.run_to_files(fresh_stream.fresh_stream(stream), f"{folder}/out", f"{folder}/state")
+    rows = spark.read.schema(arrivals.schema).parquet(f"{folder}/out")
+    return rows.select("file", "article_id", "user_id", "event_type", stamp("date").alias("date"))
 
 
 def stream_trending(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,3 +309,18 @@ def turn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(True).alias("llm_configured"),
         "raw_answer",
     )
+
+
+ARRIVAL_DAYS, LATE_FILES = 4, 3
+
+
+def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as arrivals of articles, one per user and kind, in files of four days each; every tenth comes three files
+    late. In a file each article arrives once."""
+    url = F.concat(F.lit("https://events.example.org/"), F.col("user_id").cast("string"), F.lit("/"), "event_type")
+    day = F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    late = F.when(F.col("event_id") % 10 == 3, LATE_FILES).otherwise(0)
+    rows = table(spark, sf_dir, "events").withColumn("file", (F.floor(day / ARRIVAL_DAYS) + late).cast("int"))
+    return rows.groupBy("file", article_id(url).alias("article_id"), "user_id", "event_type").agg(
+        F.min(F.col("ts").cast("timestamp")).alias("date")
+    )
