@@ -5,7 +5,8 @@ question probes its nearest cells. The exact search goes on from there: the k-th
 cell the distance of its centroid and its radius, tell by the triangle inequality which other cells can hold a
 better chunk; only those are read.
 
-Each probed cell meets its questions in tasks of bounded size, however many chunks or questions it has. No question
+Small cells are read in groups, so that a question moves once for many of them; a task scores each cell of its group
+for the questions that want it, and has a bounded number of chunks and questions however many a cell has. No question
 passes the driver; centroids do, at most ``MAX_CELLS`` of them.
 """
 
@@ -24,13 +25,16 @@ from newslake.operators.search import (
     CHUNK_BLOCK,
     DISTANCE_DIGITS,
     QUESTION_BLOCK,
+    _Best,
     _block,
     _each,
+    _emit,
     _filled,
+    _ids,
     _matrix,
-    _met,
     _narrow,
     _ranked,
+    _result_schema,
 )
 from newslake.session import materialise
 
@@ -152,45 +156,108 @@ def _nearest(away: np.ndarray, sizes: np.ndarray, probes: int, k: int) -> np.nda
     return out & (sizes > 0)
 
 
-def _probing(index: CellIndex, probes: int, k: int, rest: bool):
-    """Rows of questions to a row for each cell that they probe, or with ``rest`` for each other cell within reach."""
-    centroids, sizes, radii = index.centroids, index.sizes, index.radii
+def _wanted(rows: np.ndarray, reached: np.ndarray | None, index: "_Cells", probes: int, k: int) -> np.ndarray:
+    """Which cells each question reads: its nearest, or with ``reached`` the others that may hold a better chunk."""
+    away = _distances(rows, index.centroids)
+    near = _nearest(away, index.sizes, probes, k)
+    if reached is None:
+        return near
+    reach = np.sqrt(2.0 * (np.where(np.isnan(reached), np.inf, reached) + SLACK))
+    return ~near & (index.sizes > 0) & (away - index.radii <= reach[:, None])
 
+
+@dataclass(frozen=True)
+class _Cells:
+    """What tasks know of the cells. ``group``: cells that are small lie together in one group of ``chunk_block`` rows."""
+
+    centroids: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+    group: np.ndarray
+
+
+def _grouped(index: CellIndex, chunk_block: int) -> np.ndarray:
+    """Cells in runs of about ``chunk_block`` chunks, so that a question moves once for many cells."""
+    return (np.cumsum(index.sizes) - index.sizes) // chunk_block
+
+
+def _reached(batch) -> np.ndarray | None:
+    names = batch.schema.names
+    return np.asarray(batch.column("reached").to_numpy(), dtype=float) if "reached" in names else None
+
+
+def _probing(cells: _Cells, probes: int, k: int):
+    """Rows of questions to a row for each group of cells that they read from."""
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = _filled(whole)
             for a in range(0, whole.num_rows, 1024):
-                batch = whole.slice(a, 1024)
-                rows = _matrix(batch.column("embedding"))
-                away = _distances(rows, centroids)
-                wanted = _nearest(away, sizes, probes, k)
-                if rest:
-                    reached = batch.column("reached").to_numpy(zero_copy_only=False)
-                    reach = np.sqrt(2.0 * (np.where(np.isnan(reached), np.inf, reached) + SLACK))
-                    wanted = ~wanted & (sizes > 0) & (away - radii <= reach[:, None])
+                table = pa.Table.from_batches([whole.slice(a, 1024)])
+                wanted = _wanted(_matrix(table["embedding"]), _reached(table), cells, probes, k)
                 q, cell = np.nonzero(wanted)
-                kept = batch.select(["question_id", "embedding"]).take(pa.array(q))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell, pa.int32())], ["question_id", "embedding", "cell"])
+                pairs = np.unique(np.stack([q, cells.group[cell]], axis=1), axis=0)
+                if len(pairs):
+                    (kept,) = table.take(pa.array(pairs[:, 0])).combine_chunks().to_batches()
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pairs[:, 1], pa.int32())], [*kept.schema.names, "grp"])
 
     return probe
 
 
-def _searched(index: CellIndex, probing: DataFrame, k: int, question_block: int, chunk_block: int) -> DataFrame:
-    """Candidates of the probed cells: cells with many chunks or questions are cut into blocks."""
-    spark = probing.sparkSession
-    probing = materialise(probing, "probes")
+def _group_search(cells: _Cells, probes: int, k: int, schema: pa.Schema):
+    """Questions meet the cells of a group; each cell is scored for the questions that want it."""
+    def search(questions: pa.Table, chunks: pa.Table) -> pa.Table:
+        questions, chunks = _filled(questions), _filled(chunks)
+        if not questions.num_rows or not chunks.num_rows:
+            return schema.empty_table()
+        asked = _matrix(questions["embedding"])
+        wanted = _wanted(asked, _reached(questions), cells, probes, k)
+        best, pending = _Best(asked, k, _reached_limits(questions)), []
+        ids, rows, cell = _ids(chunks["chunk_id"]), _matrix(chunks["embedding"]), chunks["cell"].to_numpy()
+        order = np.argsort(cell, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+            some = np.flatnonzero(wanted[:, cell[part[0]]])
+            if len(some):
+                pending += best.scored(ids[part], rows[part], some=some)
+            if sum(len(p[0]) for p in pending) > 4 * k * len(asked):
+                best.merge(pending)
+                pending = []
+        best.merge(pending)
+        return pa.Table.from_batches(list(_emit(best, _ids(questions["question_id"]), schema)), schema)
+
+    return search
+
+
+def _reached_limits(questions: pa.Table) -> np.ndarray | None:
+    reached = _reached(questions)
+    return None if reached is None else np.where(np.isnan(reached), np.inf, reached)
+
+
+def _searched(index: CellIndex, questions: DataFrame, k: int, probes: int, question_block: int, chunk_block: int) -> DataFrame:
+    """Candidates of the wanted cells. Groups of cells are read by tasks of at most about ``chunk_block`` chunks and
+    ``question_block`` questions; a cell that is larger is cut."""
+    spark = questions.sparkSession
+    cells = _Cells(index.centroids, index.sizes, index.radii, _grouped(index, chunk_block))
+    ddl, schema = _result_schema(questions, index.chunks)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in questions.schema)
+    probing = materialise(questions.mapInArrow(_probing(cells, probes, k), f"{columns}, grp INT"), "probes")
+    held = {}
+    for group, n in zip(cells.group.tolist(), index.sizes.tolist()):
+        held[group] = held.get(group, 0) + n
     sizes = spark.createDataFrame(
-        [(c, math.ceil(int(n) / chunk_block)) for c, n in enumerate(index.sizes) if n], "cell INT, c_blocks INT"
-    )
-    asked = probing.groupBy("cell").agg(F.ceil(F.count("*") / question_block).cast("int").alias("q_blocks"))
-    cells = F.broadcast(materialise(sizes.join(asked, "cell"), "probed"))  # at most MAX_CELLS rows
-    left = probing.join(cells, "cell").select(
-        "question_id", "embedding", "cell", _block("question_id", F.col("q_blocks")).alias("qb"), _each(F.col("c_blocks")).alias("cb")
-    )
-    right = index.chunks.join(cells, "cell").select(
-        "chunk_id", "embedding", "cell", _block("chunk_id", F.col("c_blocks")).alias("cb"), _each(F.col("q_blocks")).alias("qb")
+        [(g, -(-n // (2 * chunk_block))) for g, n in held.items() if n], "grp INT, c_blocks INT"
     )
-    return _met(left, right, ["cell", "qb", "cb"], k)
+    asked = probing.groupBy("grp").agg(F.ceil(F.count("*") / question_block).cast("int").alias("q_blocks"))
+    groups = F.broadcast(materialise(sizes.join(asked, "grp"), "probed"))  # at most MAX_CELLS rows
+    group_of = F.element_at(F.lit(cells.group.tolist()), F.col("cell") + 1).cast("int")
+    left = probing.join(groups, "grp").withColumns({
+        "qb": _block("question_id", F.col("q_blocks")), "cb": _each(F.col("c_blocks")),
+    })
+    right = index.chunks.withColumn("grp", group_of).join(groups, "grp").withColumns({
+        "cb": _block("chunk_id", F.col("c_blocks")), "qb": _each(F.col("q_blocks")),
+    })
+    key, drop = ["grp", "qb", "cb"], ["q_blocks", "c_blocks"]
+    met = left.drop(*drop).groupBy(*key).cogroup(right.drop(*drop).groupBy(*key))
+    return met.applyInArrow(_group_search(cells, probes, k, schema), ddl)
 
 
 def search_cells(
@@ -209,17 +276,14 @@ def search_cells(
         return questions.sparkSession.createDataFrame(
             [], f"question_id {kinds['question_id']}, rank INT, chunk_id {kinds['chunk_id']}, distance DOUBLE"
         )
-    q, e = (questions.schema[c].dataType.simpleString() for c in ("question_id", "embedding"))
-    ddl = f"question_id {q}, embedding {e}, cell INT"
-    near = _searched(index, questions.mapInArrow(_probing(index, probes, k, False), ddl), k, question_block, chunk_block)
+    near = _searched(index, questions, k, probes, question_block, chunk_block)
     first = _ranked(near, k)
     if not exact:
         return first
     first = materialise(first, "first-hits")
     reached = first.where(F.col("rank") == k).select("question_id", F.col("distance").alias("reached"))
     asked = questions.join(reached, "question_id", "left")
-    rest = asked.mapInArrow(_probing(index, probes, k, True), ddl)
-    more = _searched(index, rest, k, question_block, chunk_block)
+    more = _searched(index, asked, k, probes, question_block, chunk_block)
     return _ranked(first.drop("rank").unionByName(more), k)
 
 

@@ -59,12 +59,23 @@ class _Best:
         self.distance = np.zeros(0)
         self.ids: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, rows: np.ndarray, stored_at: np.ndarray | None = None) -> None:
+    def add(
+        self, ids: np.ndarray, rows: np.ndarray, stored_at: np.ndarray | None = None, some: np.ndarray | None = None
+    ) -> None:
+        """Score rows for all questions, or for ``some`` of them."""
+        self.merge(self.scored(ids, rows, stored_at, some))
+
+    def scored(self, ids, rows, stored_at=None, some=None) -> list[tuple[np.ndarray, ...]]:
         order = np.argsort(ids, kind="stable")
         ids, rows = ids[order], rows[order]
         stored_at = None if stored_at is None else stored_at[order]
-        found = [self._tile(ids[a:a + TILE], rows[a:a + TILE], b, None if stored_at is None else stored_at[a:a + TILE])
-                 for a in range(0, len(ids), TILE) for b in range(0, len(self.questions), TILE)]
+        some = np.arange(len(self.questions)) if some is None else some
+        return [self._tile(ids[a:a + TILE], rows[a:a + TILE], some[b:b + TILE], None if stored_at is None else stored_at[a:a + TILE])
+                for a in range(0, len(ids), TILE) for b in range(0, len(some), TILE)]
+
+    def merge(self, found: list[tuple[np.ndarray, ...]]) -> None:
+        if not found:
+            return
         q, distance, new_ids = (np.concatenate(parts) for parts in zip(*found))
         if self.ids is not None:
             q, distance, new_ids = (
@@ -80,12 +91,12 @@ class _Best:
         full = held == self.k
         self.limit[full] = np.minimum(self.limit[full], self.distance[last[full]])
 
-    def _tile(self, ids: np.ndarray, rows: np.ndarray, b: int, stored_at: np.ndarray | None):
+    def _tile(self, ids: np.ndarray, rows: np.ndarray, some: np.ndarray, stored_at: np.ndarray | None):
         """Rows that may enter the best of a question; ties at the edge go to the lowest ids."""
-        d = np.round(1.0 - self.questions[b:b + TILE] @ rows.T, DISTANCE_DIGITS) + 0.0
+        d = np.round(1.0 - self.questions[some] @ rows.T, DISTANCE_DIGITS) + 0.0
         if stored_at is not None:
-            d[stored_at >= self.asked_at[b:b + TILE, None]] = np.inf
-        limit = self.limit[b:b + TILE]
+            d[stored_at >= self.asked_at[some, None]] = np.inf
+        limit = self.limit[some]
         if d.shape[1] > self.k:
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
         below = d <= limit[:, None]
@@ -93,7 +104,7 @@ class _Best:
             tie = d == limit[:, None]
             below &= ~tie | (np.cumsum(tie, axis=1) <= self.k)
         q, c = np.nonzero(below & np.isfinite(d))
-        return q + b, d[q, c], ids[c]
+        return some[q], d[q, c], ids[c]
 
 
 def _emit(best: _Best, question_ids: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -31,13 +31,10 @@ def test_distant_cells_are_not_read(spark):
     points = np.repeat(centres, 30, axis=0) + draw.normal(scale=0.02, size=(300, 10))
     q, c = tables(spark, (centres[:5], points))
     index = cells.build_cells(c, 10)
-    first = cells._probing(index, 1, 8, False)
-    asked = q.toPandas().assign(reached=0.01)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pandas(asked)
-    near = pa.Table.from_batches(list(first([batch]))).num_rows
-    rest = pa.Table.from_batches(list(cells._probing(index, 1, 8, True)([batch]))).num_rows
+    known = cells._Cells(index.centroids, index.sizes, index.radii, cells._grouped(index, 1))
+    asked = np.asarray([r["embedding"] for r in q.collect()])
+    near = cells._wanted(asked, None, known, 1, 8).sum()
+    rest = cells._wanted(asked, np.full(5, 0.01), known, 1, 8).sum()
     assert near == 5 and rest == 0
     assert rows(cells.search_cells(index, q, 8, probes=1, exact=True)) == brute_force((centres[:5], points), 8)
 
