@@ -30,6 +30,12 @@ def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("*", *two_hashes(*[F.col(c) for c in columns]))
 
 
+def own_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns under names that no operator uses, and those names by the old ones."""
+    names = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -1,12 +1,15 @@
 """Quality rules by cross-document line frequency. DataFrame operations only.
 
-Every line of a document is normalised (ASCII case, blanks, digits) and hashed. A line that stands in many
-documents of one host is boilerplate there: it is removed from all but the first of them, and a document of
-which too few words remain is depleted and rejected. Copies of a text count as one document, so a page that was
-crawled a hundred times doesn't make its own lines boilerplate.
+Every line of a document is normalised (ASCII case, blanks, digits) and hashed. A line that stands in more than
+``LINE_DOCS`` documents of one host, of whatever size, is frequent there. A document that passes the base rules and has
+enough words besides its frequent lines stays, any other is rejected: too few words would be left of it. Frequent lines
+are removed, but each stays in the first of the documents that stay, so no line of a document that stays is lost.
+Copies of a text count as one document, so a page that was crawled a hundred times doesn't make its own lines
+frequent.
 
 Cases: a null text has no words and fails the base rules; so does an empty one. A null host is a host of its own.
-Repeated rows get the same verdict each. Null and repeated ids are allowed. Extra columns pass through unread.
+Repeated rows get the same verdict each. Null and repeated ids are allowed. Extra columns pass through unread, also
+under the names used here; those named as a result give way to it.
 """
 
 from __future__ import annotations
@@ -14,16 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newslake.functions.once import computed_once
-from newslake.llm.common import BLANKS, KEY, UPPER, blank_words, table, with_row_key, without, without_lines
+from newslake.llm.common import BLANKS, KEY, UPPER, blank_words, own_names, table, with_row_key, without, without_lines
 from newslake.session import materialise
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of the words in repeated windows
 WINDOW = 3
-LINE_DOCS = 10  # a line in more documents of its host than this
-LINE_SHARE = 0.01  # and in more than this share of them is removed
-LEFT_SHARE = 0.2  # a document with less than this share of its words left is depleted
+LINE_DOCS = 10  # a line in more documents of its host than this is frequent
+LEFT_SHARE = 0.2  # a document with less than this share of its words in other lines is depleted
 SALTS = 16
 
 
@@ -93,48 +95,54 @@ def host_lines(docs: DataFrame, host: str, text: str, doc_id: str) -> DataFrame:
     return exploded.where("n > 0")
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def line_frequency(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     host: str = "source",
     line_docs: int = LINE_DOCS,
-    line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
 ) -> DataFrame:
-    """``docs`` with the base counts, ``n_boilerplate_words``, ``kept`` and ``clean_text``, the text without those lines."""
-    keyed = with_row_key(docs, doc_id, text, host)
+    """``docs`` with the base counts, ``n_boilerplate_words``, ``base_failed``, ``kept`` and ``clean_text``, the text
+    without the lines that were removed."""
+    plain, names = own_names(docs)
+    doc_id, text, host = names[doc_id], names[text], names[host]
+    keyed = with_row_key(plain, doc_id, text, host)
     lines = materialise(host_lines(keyed, host, text, doc_id), "lines")
-    sizes = keyed.groupBy(F.coalesce(F.col(host), F.lit("\0")).alias("host")).agg(
-        F.count_distinct(F.xxhash64(text)).alias("host_docs")
+    frequent = lines.groupBy("host", "line").agg(F.count_distinct("digest").alias("n_docs")).where(F.col("n_docs") > line_docs)
+    salted = frequent.select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = lines.withColumn("salt", F.pmod("_k1", F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
+    # Repeated rows share a key and must not add up.
+    hits = materialise(hits.groupBy(*KEY, "host", "line", "pos", "n", "salt").agg(F.min("id").alias("id")), "frequent")
+
+    base = base_counts(keyed.select(*KEY, F.col(text).alias("text"))).select(*KEY, *COUNTS, "base_failed").distinct()
+    words = hits.groupBy(*KEY).agg(F.sum("n").alias("_frequent"))
+    left = F.col("n_words") - F.coalesce("_frequent", F.lit(0))
+    judged = base.join(words, KEY, "left").withColumn(
+        "kept", ~F.col("base_failed") & (left >= left_share * F.col("n_words"))
     )
-    frequent = (
-        lines.groupBy("host", "line")
-        .agg(F.count_distinct("digest").alias("n_docs"), F.min(F.struct("id", *KEY)).alias("first"))
-        .where(F.col("n_docs") > line_docs)
-        .join(sizes, "host")
-        .where(F.col("n_docs") > line_share * F.col("host_docs"))
+    judged = materialise(judged, "judged")
+
+    firsts = (
+        hits.join(judged.where("kept").select(*KEY), KEY, "left_semi")
+        .groupBy("host", "line").agg(F.min(F.struct("id", *KEY)).alias("first"))
         .select("host", "line", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    removed = (
-        lines.withColumn("salt", F.pmod("_k1", F.lit(SALTS)).cast("int"))
-        .join(frequent, ["host", "line", "salt"])
-        .where((F.col("first._k1") != F.col("_k1")) | (F.col("first._k2") != F.col("_k2")))
-    )
-    # Repeated rows share a key and must not add up.
-    gone = (
-        removed.select(*KEY, "pos", "n").distinct().groupBy(*KEY)
-        .agg(F.sum("n").alias("n_boilerplate_words"), F.collect_list("pos").alias("_gone"))
-    )
-    judged = base_counts(keyed, text).join(gone, KEY, "left").fillna(0, ["n_boilerplate_words"])
-    left = F.col("n_words") - F.col("n_boilerplate_words")
-    judged = judged.select("*", computed_once(F.split(text, "\n")).alias("_split"))
-    shortened = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines("_split", "_gone"))
-    return judged.select(
-        *docs.columns,
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words", "base_failed",
-        (~F.col("base_failed") & (left >= left_share * F.col("n_words"))).alias("kept"),
-        shortened.alias("clean_text"),
+    stays = (F.col("first._k1") == F.col("_k1")) & (F.col("first._k2") == F.col("_k2"))
+    removed = hits.join(firsts, ["host", "line", "salt"], "left").where(~F.coalesce(stays, F.lit(False)))
+    gone = removed.groupBy(*KEY).agg(F.sum("n").alias("n_boilerplate_words"), F.collect_list("pos").alias("_gone"))
+    judged = judged.join(gone, KEY, "left").fillna(0, ["n_boilerplate_words"])
+    whole = keyed.join(judged, KEY).select("*", computed_once(F.split(text, "\n")).alias("_split"))
+    results = {
+        **{c: F.col(c) for c in (*COUNTS, "n_boilerplate_words", "base_failed", "kept")},
+        "clean_text": F.when(F.col("_gone").isNull(), F.col(text)).otherwise(without_lines("_split", "_gone")),
+    }
+    return whole.select(
+        *[F.col(own).alias(c) for c, own in names.items() if c not in results],
+        *[c.alias(name) for name, c in results.items()],
     )
 
 
@@ -173,22 +181,22 @@ WITH split_words AS (
              'abcdefghijklmnopqrstuvwxyz000000000    '), ' '), lambda w: w <> '') AS ws
     FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM base)
   ) WHERE len(ws) > 0
-), sizes AS (
-  SELECT source, count(DISTINCT md5(text)) AS host_docs FROM base GROUP BY source
 ), frequent AS (
-  SELECT source, line, min(doc_id) AS first FROM lines JOIN sizes USING (source)
-  GROUP BY source, line, host_docs
-  HAVING count(DISTINCT digest) > 10 AND count(DISTINCT digest) > 0.01 * host_docs
+  SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT digest) > 10
+), hits AS (
+  SELECT doc_id, source, line, n FROM lines JOIN frequent USING (source, line)
+), judged AS (
+  SELECT b.*, coalesce(c.n, 0) AS n_repeat_words, (n_words < 50 OR 100 * coalesce(c.n, 0) > 50 * n_words) AS base_failed,
+         n_words - coalesce((SELECT sum(n) FROM hits h WHERE h.doc_id = b.doc_id), 0) >= 0.2 * n_words AS enough
+  FROM base b LEFT JOIN covered c USING (doc_id)
+), firsts AS (
+  SELECT source, line, min(doc_id) AS first FROM hits JOIN judged j USING (doc_id, source)
+  WHERE j.enough AND NOT j.base_failed GROUP BY source, line
 ), gone AS (
-  SELECT doc_id, sum(n) AS n FROM lines JOIN frequent USING (source, line) WHERE doc_id <> first GROUP BY doc_id
-), counted AS (
-  SELECT b.doc_id, b.n_words::BIGINT AS n_words, b.word_chars::BIGINT AS word_chars, b.n_symbols::BIGINT AS n_symbols,
-         (len(b.worded) - len(list_distinct(b.worded)))::BIGINT AS n_dup_lines,
-         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(g.n, 0)::BIGINT AS n_boilerplate_words
-  FROM base b LEFT JOIN covered c USING (doc_id) LEFT JOIN gone g USING (doc_id)
+  SELECT doc_id, sum(n) AS n FROM hits LEFT JOIN firsts USING (source, line) WHERE first IS NULL OR doc_id <> first GROUP BY doc_id
 )
-SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-         AND n_words - n_boilerplate_words >= 0.2 * n_words AS kept
-FROM counted
+SELECT j.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       (len(worded) - len(list_distinct(worded)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       coalesce(g.n, 0)::BIGINT AS n_boilerplate_words, base_failed, NOT base_failed AND enough AS kept
+FROM judged j LEFT JOIN gone g USING (doc_id)
 """

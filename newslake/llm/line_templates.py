@@ -1,15 +1,19 @@
 """Line dedup by a log-template tree of fixed depth. DataFrame operations only.
 
-A line is parsed into a leaf by its number of tokens and its leading tokens. In a leaf, a token that stands at its
-place in enough documents is constant, any other is a variable field; the line's template keeps the constant tokens.
-Numbers are variable from the start. A template that occurs in several documents recurs: its lines are dropped from
-all documents but the first. Copies of a whole text count as one document; they are left to document dedup.
+A line is parsed by its number of tokens and its leading tokens into a leaf; since one of the leading tokens may itself be
+a variable field, it is entered in a leaf with a wildcard at each of these places too. In a leaf, a token is constant if
+it stands at its place in more than half of the distinct lines, any other is a variable field. Numbers are variable
+from the start. If enough of the places behind the leading tokens are constant, the constants are the leaf's template,
+and the lines that have all of them belong to it; a line that is repeated as it is, is a template of its own. A template
+that occurs in several documents recurs: its lines are dropped from all documents but the first. Copies of a whole
+text count as one document; they are left to document dedup.
 
-Only leaves that could hold a recurring template are expanded to tokens, and each distinct line there once.
+What is constant is decided by shares of a leaf, so a template is found alike in small and in large tables.
 
 Cases: a null text stays null. Lines of fewer tokens than the tree is deep are never dropped. A document of which
 nothing is left has an empty text. Repeated rows are treated alike. Ids may be null or repeated; of equal ids the
-text decides which is first. Extra columns pass through.
+text decides which is first. Extra columns pass through, also under the names used here; ``n_lines`` and ``n_dropped``
+of the input give way to the results of that name.
 """
 
 from __future__ import annotations
@@ -17,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.functions.once import computed_once
-from newslake.llm.common import KEY, table, with_row_key, without_lines
-from newslake.session import materialise
+from newslake.llm.common import KEY, own_names, table, with_row_key, without_lines
+from newslake.session import materialise, small_side
 
 DEPTH = 3  # leading tokens of a leaf
 MIN_DOCS = 3  # distinct texts
-CONSTANT_SHARE = 0.6  # of a line's tokens, for its template to count
+CONSTANT_SHARE = 0.6  # of the places behind the leading tokens, for a template to count
+SALTS = 16
 BLANK_RUN = r"[\x20\x09\x0B-\x0D]+"
 
 
@@ -32,48 +37,57 @@ def token_lines(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), lambda line: F.array_remove(F.split(line, BLANK_RUN), ""))
 
 
-def lines(keyed: DataFrame, text: str, *columns: str, whole: bool = False) -> DataFrame:
-    """A row for each line of at least ``DEPTH`` tokens: ``pos leaf line`` and, if ``whole``, the line in plain form."""
+def lines(keyed: DataFrame, text: str, *columns: str) -> DataFrame:
+    """A row for each line of at least ``DEPTH`` tokens: ``pos n plain line leaves``."""
 
     def described(w: Column, i: Column) -> Column:
         leading = [F.get(w, F.lit(k)) for k in range(DEPTH)]
+        wild = [[F.lit("") if k == free else t for k, t in enumerate(leading)] for free in range(-1, DEPTH)]
+        leaves = F.array(*[F.xxhash64(F.lit(free), F.size(w), *path) for free, path in enumerate(wild)])
         joined = F.array_join(w, " ")
-        parts = [i.alias("pos"), F.xxhash64(F.size(w), *leading).alias("leaf"), F.xxhash64(joined).alias("line")]
-        return F.struct(F.size(w).alias("n"), *parts, *([joined.alias("plain")] if whole else []))
+        parts = [i.alias("pos"), joined.alias("plain"), F.xxhash64(joined).alias("line")]
+        return F.struct(F.size(w).alias("n"), *parts, F.when(F.size(w) > DEPTH, leaves).alias("leaves"))
 
     shown = keyed.select(*columns, computed_once(token_lines(F.col(text))).alias("_lines"))
     return shown.select(*columns, F.inline(F.transform("_lines", described))).where(F.col("n") >= DEPTH)
 
 
+def leaf_templates(narrow: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
+    """``line template``: lines that have all constants of a leaf with enough of them."""
+    placed = narrow.select("line", "plain", F.explode("leaves").alias("leaf"))
+    # A leaf with fewer rows can't hold a template that recurs.
+    several = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
+    held = placed.join(small_side(several, "open-leaves"), "leaf").groupBy("leaf", "line").agg(F.first("plain").alias("plain"))
+    held = materialise(held.select("leaf", "line", F.split("plain", " ").alias("tokens")), "leaf-lines")
+    sizes = small_side(held.groupBy("leaf").agg(F.count("*").alias("lines"), F.first(F.size("tokens")).alias("n")), "leaf-sizes")
+    constants = (
+        held.select("leaf", F.posexplode("tokens").alias("at", "token"))
+        .groupBy("leaf", "at", "token").count()
+        .join(sizes, "leaf")
+        .where(2 * F.col("count") > F.col("lines"))
+        .groupBy("leaf", "n")
+        .agg(F.collect_list(F.struct("at", "token")).alias("constants"))  # one a place at most
+    )
+    behind = F.size(F.filter("constants", lambda c: c["at"] >= DEPTH))
+    templates = constants.where(behind >= constant_share * (F.col("n") - DEPTH)).select("leaf", "constants")
+    has = lambda c: F.get("tokens", c["at"]) == c["token"]
+    return held.join(small_side(templates, "leaf-templates"), "leaf").where(F.forall("constants", has)).select(
+        "line", F.col("leaf").alias("template")
+    )
+
+
 def recurring_lines(keyed: DataFrame, doc_id: str, text: str, min_docs: int, constant_share: float) -> DataFrame:
     """``_k1 _k2 dropped``: positions of the lines to drop."""
     named = keyed.select(*KEY, F.col(doc_id).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    narrow = materialise(lines(named, "text", *KEY, "id", "digest"), "line-leaves")
-    by_line = narrow.groupBy("leaf", "line").agg(F.count_distinct("digest").alias("docs"))
-    by_line = materialise(by_line, "distinct-lines")
-    open_leaves = by_line.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    tokens = (
-        lines(named, "text", whole=True)
-        .join(open_leaves.select("leaf"), "leaf", "left_semi")
-        .groupBy("leaf", "line")
-        .agg(F.first("plain").alias("plain"))
-        .join(by_line, ["leaf", "line"])
-        .select("leaf", "line", "docs", F.posexplode(F.split("plain", " ")).alias("at", "token"))
-    )
-    tokens = materialise(tokens, "line-tokens")
-    constant = (
-        tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"))
-        .where(F.col("support") >= min_docs).select("leaf", "at", "token", F.lit(True).alias("constant"))
-    )
-    fixed = F.when(F.col("constant"), F.struct("at", "token"))
-    templates = (
-        tokens.join(constant, ["leaf", "at", "token"], "left")
-        .groupBy("leaf", "line")
-        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(fixed)).alias("fixed"))
-        .where(F.size("fixed") >= constant_share * F.col("n"))
-        .select("leaf", "line", F.xxhash64("leaf", "n", "fixed").alias("template"))
+    narrow = materialise(lines(named, "text", *KEY, "id", "digest"), "lines")
+    repeated = narrow.groupBy("line").agg(F.count_distinct("digest").alias("docs")).where(F.col("docs") >= min_docs)
+    templates = leaf_templates(narrow, min_docs, constant_share).unionByName(
+        repeated.select("line", F.col("line").alias("template"))
     )
-    found = materialise(narrow.join(templates, ["leaf", "line"]).select(*KEY, "id", "digest", "pos", "template"), "templates")
+    # A line may stand in very many documents.
+    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = narrow.select(*KEY, "id", "digest", "pos", "line", F.pmod("_k1", F.lit(SALTS)).cast("int").alias("salt"))
+    found = materialise(found.join(salted, ["line", "salt"]).select(*KEY, "id", "digest", "pos", "template"), "templates")
     recurring = (
         found.groupBy("template")
         .agg(F.count_distinct("digest").alias("docs"), F.min(F.struct("id", *KEY)).alias("first"))
@@ -81,7 +95,7 @@ def recurring_lines(keyed: DataFrame, doc_id: str, text: str, min_docs: int, con
     )
     later = (F.col("first._k1") != F.col("_k1")) | (F.col("first._k2") != F.col("_k2"))
     return (
-        found.join(recurring, "template").where(later)
+        found.join(small_side(recurring, "recurring"), "template").where(later)
         .groupBy(*KEY).agg(F.collect_set("pos").alias("dropped"))  # at most the lines of a document
     )
 
@@ -94,18 +108,23 @@ def drop_recurring_lines(
     constant_share: float = CONSTANT_SHARE,
 ) -> DataFrame:
     """``docs`` with the shortened text, ``n_lines`` before and ``n_dropped``."""
-    keyed = with_row_key(docs, doc_id, text)
+    plain, names = own_names(docs)
+    doc_id, text = names[doc_id], names[text]
+    keyed = with_row_key(plain, doc_id, text)
     dropped = recurring_lines(keyed, doc_id, text, min_docs, constant_share)
     joined = keyed.join(dropped, KEY, "left")
     joined = joined.select("*", computed_once(F.split(text, "\n")).alias("_split"))
     shortened = without_lines("_split", "dropped")
+    results = {
+        "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size("_split")).cast("long"),
+        "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long"),
+    }
     return joined.select(
         *[
-            F.when(F.col("dropped").isNull(), F.col(c)).otherwise(shortened).alias(c) if c == text else c
-            for c in docs.columns
+            F.when(F.col("dropped").isNull(), F.col(own)).otherwise(shortened).alias(c) if own == text else F.col(own).alias(c)
+            for c, own in names.items() if c not in results
         ],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size("_split")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[c.alias(name) for name, c in results.items()],
     )
 
 
@@ -118,23 +137,30 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH lines AS (
-  SELECT doc_id, digest, pos, toks, array_to_string(toks, ' ') AS line, len(toks) AS n,
-         len(toks)::VARCHAR || ' ' || array_to_string(toks[1:3], ' ') AS leaf
+  SELECT doc_id, digest, pos, toks, array_to_string(toks, ' ') AS line, len(toks) AS n
   FROM (
     SELECT doc_id, digest, pos, list_filter(string_split_regex(regexp_replace(l, '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+'), lambda w: w <> '') AS toks
     FROM (SELECT doc_id, md5(text) AS digest, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   ) WHERE len(toks) >= 3
-), by_line AS (
-  SELECT leaf, line, n, any_value(toks) AS toks, count(DISTINCT digest) AS docs FROM lines GROUP BY leaf, line, n
+), held AS (
+  SELECT DISTINCT line, toks, n, unnest(['0 ' || toks[1] || ' ' || toks[2] || ' ' || toks[3], '1 ' || toks[2] || ' ' || toks[3],
+    '2 ' || toks[1] || ' ' || toks[3], '3 ' || toks[1] || ' ' || toks[2]]) || ' ' || n AS leaf
+  FROM lines WHERE n > 3
+), sizes AS (
+  SELECT leaf, count(*) AS lines FROM held GROUP BY leaf
 ), tokens AS (
-  SELECT leaf, line, n, docs, unnest(toks) AS token, generate_subscripts(toks, 1) AS place FROM by_line
-), constant AS (
-  SELECT leaf, place, token FROM tokens GROUP BY leaf, place, token HAVING sum(docs) >= 3
+  SELECT leaf, line, n, unnest(toks) AS token, generate_subscripts(toks, 1) AS place FROM held
+), constants AS (
+  SELECT leaf, place, token, any_value(n) AS n FROM tokens JOIN sizes USING (leaf)
+  GROUP BY leaf, place, token, lines HAVING 2 * count(*) > lines
+), leaf_templates AS (
+  SELECT leaf, count(*) AS wanted FROM constants GROUP BY leaf, n HAVING count(*) FILTER (place > 3) >= 0.6 * (n - 3)
 ), templates AS (
-  SELECT leaf, line, leaf || '|' || string_agg(place::VARCHAR || ' ' || token, '|' ORDER BY place) AS template
-  FROM tokens JOIN constant USING (leaf, place, token) GROUP BY leaf, line, n HAVING count(*) >= 0.6 * n
+  SELECT line, leaf AS template FROM tokens JOIN constants USING (leaf, place, token) JOIN leaf_templates USING (leaf)
+  GROUP BY leaf, line, wanted HAVING count(*) = wanted
+  UNION ALL SELECT DISTINCT line, 'line ' || line FROM lines
 ), found AS (
-  SELECT doc_id, digest, pos, template FROM lines JOIN templates USING (leaf, line)
+  SELECT doc_id, digest, pos, template FROM lines JOIN templates USING (line)
 ), recurring AS (
   SELECT template, min(doc_id) AS first FROM found GROUP BY template HAVING count(DISTINCT digest) >= 3
 ), dropped AS (

@@ -98,6 +98,62 @@ def test_templates_drop_variable_lines(spark):
     assert all("logged" not in got[i]["text"] for i in range(1, 6))
 
 
+def dropped_lines(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["n_dropped"] for r in line_templates.drop_recurring_lines(docs).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("n", [150, 6000])
+def test_templates_are_found_alike_in_small_and_large_tables(spark, n):
+    """Two fields of 200 values behind the leading tokens."""
+    name = lambda i, step: chr(97 + i * step % 200 // 26) + chr(97 + i * step % 200 % 26)
+    texts = [f"the order of {name(i, 1)} was sent to {name(i, 7)} by the night train" for i in range(n)]
+    assert dropped_lines(spark, texts) == [0] + [1] * (n - 1)
+
+
+def test_short_lines_with_a_common_opening_survive(spark):
+    assert dropped_lines(spark, ["The old man sang.", "The old man ate.", "The old man left."]) == [0, 0, 0]
+    assert dropped_lines(spark, ["The old man sang.", "The old man sang.\nx", "y\nThe old man sang."]) == [0, 1, 1]
+
+
+@pytest.mark.parametrize("size", [500, 5000])
+def test_line_limits_are_alike_in_hosts_of_every_size(spark, size):
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{i}w{k}" for k in range(60))
+    digits = str.maketrans("0123456789", "zyxvutsrqp")
+    rows = [(i, own(i).translate(digits) + ("\nall rights reserved" if i < 40 else ""), "h") for i in range(size)]
+    got = line_frequency.line_frequency(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.where("n_boilerplate_words > 0").count() == 39
+
+
+def test_a_line_stays_in_a_document_that_stays(spark):
+    """The least id is rejected, so it can't be the one that keeps the line."""
+    digits = str.maketrans("0123456789", "zyxvutsrqp")
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60)).translate(digits)
+    rows = [(0, "Our terms of use", "h")] + [(i, f"{own(i)}\nOur terms of use", "h") for i in range(1, 14)]
+    got = {r["doc_id"]: r for r in line_frequency.line_frequency(
+        spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ).collect()}
+    assert not got[0]["kept"] and got[0]["clean_text"] == ""
+    assert [i for i in got if "terms" in got[i]["clean_text"]] == [1]
+    assert all(got[i]["kept"] for i in range(1, 14))
+
+
+CLASHING = "n_words n_lines n_dropped dropped _k1 _words kept clean_text host line template".split()
+
+
+def test_columns_of_the_input_may_have_any_name(spark):
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING)
+    rows = [(i, f"text number {chr(97 + i)} of all\nshared by all texts", "s", *[c + str(i) for c in CLASHING]) for i in range(4)]
+    docs = spark.createDataFrame(rows, schema)
+    for run, results in (
+        (line_frequency.line_frequency, {"n_words", "kept", "clean_text"}), (line_templates.drop_recurring_lines, {"n_lines", "n_dropped"})
+    ):
+        got = run(docs)
+        assert len(set(got.columns)) == len(got.columns) and set(docs.columns) <= set(got.columns)
+        for r in got.collect():
+            assert all(r[c] == c + str(r["doc_id"]) for c in CLASHING if c not in results)
+
+
 def test_decontamination_by_brute_force(spark):
     import random
 
