@@ -324,3 +324,23 @@ def event_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file", article_id(url).alias("article_id"), "user_id", "event_type").agg(
         F.min(F.col("ts").cast("timestamp")).alias("date")
     )
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with boilerplate as sites have it: marked by class or id, and nested in elements of its own kind."""
+    n = F.col("page_id").cast("string")
+    banner = F.concat(
+        F.lit('<div class="big cookie-banner">Accept <div>our <div id="x'), n, F.lit('">many</div></div> cookies<br></div>')
+    )
+    promo = F.concat(
+        F.lit("<section data-n='1' id='top-advert-"), n,
+        F.lit("'><h2>Buy</h2><section><p>now</p><img src=\"a.png\"></section></section>"),
+    )
+    menu = F.lit('<nav><ul><li>a</li></ul><nav class="sub">b<aside>c</aside></nav>d</nav>')
+    kept = F.lit('<div class="Cookies are fine"><section>kept</section></div>')
+    extra = F.when(F.col("page_id") % 3 == 0, F.concat(banner, kept)).when(
+        F.col("page_id") % 3 == 1, F.concat(promo, menu)
+    ).otherwise(F.concat(F.lit("<div>"), menu, banner, F.lit("</div>"), kept, promo))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.replace("html", F.lit("<article>"), F.concat(extra, F.lit("<article>"))).alias("html")
+    )
