@@ -1,12 +1,13 @@
 """Line dedup by a log-template tree of fixed depth. DataFrame operations only.
 
-A line is parsed by its number of tokens and its leading tokens into a leaf; since one of the leading tokens may itself be
-a variable field, it is entered in a leaf with a wildcard at each of these places too. In a leaf, a token is constant if
-it stands at its place in more than half of the distinct lines, any other is a variable field. Numbers are variable
-from the start. If enough of the places behind the leading tokens are constant, the constants are the leaf's template,
-and the lines that have all of them belong to it; a line that is repeated as it is, is a template of its own. A template
-that occurs in several documents recurs: its lines are dropped from all documents but the first. Copies of a whole
-text count as one document; they are left to document dedup.
+A line is parsed by its number of tokens and its leading tokens into a leaf. In a leaf, a token is constant if it stands
+at its place in more than half of the distinct lines, any other is a variable field. Numbers are variable from the
+start. If a leaf has as many rows as a template needs documents, and enough of its places behind the leading tokens are
+constant, the constants are its template, and the lines that have all of them belong to it. One of the leading tokens
+may itself be a variable field: lines without a template are entered again, in a leaf with a wildcard at each of these
+places. A line that is repeated as it is, is a template of its own. A template that occurs in several documents recurs:
+its lines are dropped from all documents but the first. Copies of a whole text count as one document; they are left to
+document dedup.
 
 What is constant is decided by shares of a leaf, so a template is found alike in small and in large tables.
 
@@ -28,6 +29,7 @@ DEPTH = 3  # leading tokens of a leaf
 MIN_DOCS = 3  # distinct texts
 CONSTANT_SHARE = 0.6  # of the places behind the leading tokens, for a template to count
 SALTS = 16
+BROADCAST_BYTES = 8 << 20  # of hashes, as written
 BLANK_RUN = r"[\x20\x09\x0B-\x0D]+"
 
 
@@ -52,27 +54,41 @@ def lines(keyed: DataFrame, text: str, *columns: str) -> DataFrame:
     return shown.select(*columns, F.inline(F.transform("_lines", described))).where(F.col("n") >= DEPTH)
 
 
-def leaf_templates(narrow: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
-    """``line template``: lines that have all constants of a leaf with enough of them."""
-    placed = narrow.select("line", "plain", F.explode("leaves").alias("leaf"))
-    # A leaf with fewer rows can't hold a template that recurs.
+def leaf_templates(placed: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
+    """``line template``: lines of ``line plain leaf`` that have all constants of a leaf with enough of them."""
+    # A leaf with fewer rows holds no template.
     several = placed.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    held = placed.join(small_side(several, "open-leaves"), "leaf").groupBy("leaf", "line").agg(F.first("plain").alias("plain"))
+    several = small_side(several, "open-leaves", BROADCAST_BYTES)
+    held = placed.join(several, "leaf").groupBy("leaf", "line").agg(F.first("plain").alias("plain"))
     held = materialise(held.select("leaf", "line", F.split("plain", " ").alias("tokens")), "leaf-lines")
-    sizes = small_side(held.groupBy("leaf").agg(F.count("*").alias("lines"), F.first(F.size("tokens")).alias("n")), "leaf-sizes")
+    sizes = held.groupBy("leaf").agg(F.count("*").alias("lines"), F.first(F.size("tokens")).alias("n"))
     constants = (
         held.select("leaf", F.posexplode("tokens").alias("at", "token"))
-        .groupBy("leaf", "at", "token").count()
-        .join(sizes, "leaf")
+        .groupBy("leaf", "at", F.xxhash64("token").alias("token")).count()
+        .join(small_side(sizes, "leaf-sizes", BROADCAST_BYTES), "leaf")
         .where(2 * F.col("count") > F.col("lines"))
         .groupBy("leaf", "n")
         .agg(F.collect_list(F.struct("at", "token")).alias("constants"))  # one a place at most
     )
     behind = F.size(F.filter("constants", lambda c: c["at"] >= DEPTH))
     templates = constants.where(behind >= constant_share * (F.col("n") - DEPTH)).select("leaf", "constants")
-    has = lambda c: F.get("tokens", c["at"]) == c["token"]
-    return held.join(small_side(templates, "leaf-templates"), "leaf").where(F.forall("constants", has)).select(
-        "line", F.col("leaf").alias("template")
+    has = lambda c: F.xxhash64(F.get("tokens", c["at"])) == c["token"]
+    found = held.join(templates, "leaf").where(F.forall("constants", has))
+    return materialise(found.select("line", F.col("leaf").alias("template")), "leaf-templates")
+
+
+def line_templates(narrow: DataFrame, min_docs: int, constant_share: float) -> DataFrame:
+    """``line template`` of every line that has one."""
+    long = narrow.where("leaves IS NOT NULL")
+    literal = leaf_templates(
+        long.select("line", "plain", F.get("leaves", F.lit(0)).alias("leaf")), min_docs, constant_share
+    )
+    rest = long.join(small_side(literal.select("line"), "parsed-lines", BROADCAST_BYTES), "line", "left_anti")
+    wild = rest.select("line", "plain", F.explode(F.slice("leaves", 2, DEPTH)).alias("leaf"))
+    repeated = narrow.groupBy("line").agg(F.count_distinct("digest").alias("docs")).where(F.col("docs") >= min_docs)
+    return (
+        literal.unionByName(leaf_templates(wild, min_docs, constant_share))
+        .unionByName(repeated.select("line", F.col("line").alias("template")))
     )
 
 
@@ -80,10 +96,7 @@ def recurring_lines(keyed: DataFrame, doc_id: str, text: str, min_docs: int, con
     """``_k1 _k2 dropped``: positions of the lines to drop."""
     named = keyed.select(*KEY, F.col(doc_id).alias("id"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
     narrow = materialise(lines(named, "text", *KEY, "id", "digest"), "lines")
-    repeated = narrow.groupBy("line").agg(F.count_distinct("digest").alias("docs")).where(F.col("docs") >= min_docs)
-    templates = leaf_templates(narrow, min_docs, constant_share).unionByName(
-        repeated.select("line", F.col("line").alias("template"))
-    )
+    templates = line_templates(narrow, min_docs, constant_share)
     # A line may stand in very many documents.
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     found = narrow.select(*KEY, "id", "digest", "pos", "line", F.pmod("_k1", F.lit(SALTS)).cast("int").alias("salt"))
@@ -95,7 +108,7 @@ def recurring_lines(keyed: DataFrame, doc_id: str, text: str, min_docs: int, con
     )
     later = (F.col("first._k1") != F.col("_k1")) | (F.col("first._k2") != F.col("_k2"))
     return (
-        found.join(small_side(recurring, "recurring"), "template").where(later)
+        found.join(small_side(recurring, "recurring", BROADCAST_BYTES), "template").where(later)
         .groupBy(*KEY).agg(F.collect_set("pos").alias("dropped"))  # at most the lines of a document
     )
 
@@ -135,6 +148,21 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Lines of a table of leaves with all constants of a leaf that has enough of them.
+_LEAVES = """{0}_open AS (
+  SELECT leaf, count(DISTINCT line) AS lines FROM {0} GROUP BY leaf HAVING count(*) >= 3
+), {0}_tokens AS (
+  SELECT leaf, line, n, unnest(toks) AS token, generate_subscripts(toks, 1) AS place
+  FROM (SELECT DISTINCT leaf, line, n, toks FROM {0} SEMI JOIN {0}_open USING (leaf))
+), {0}_constants AS (
+  SELECT leaf, place, token, any_value(n) AS n FROM {0}_tokens JOIN {0}_open USING (leaf)
+  GROUP BY leaf, place, token, lines HAVING 2 * count(*) > lines
+), {0}_templates AS (
+  SELECT leaf, count(*) AS wanted FROM {0}_constants GROUP BY leaf, n HAVING count(*) FILTER (place > 3) >= 0.6 * (n - 3)
+), {1} AS (
+  SELECT line, leaf AS template FROM {0}_tokens JOIN {0}_constants USING (leaf, place, token) JOIN {0}_templates USING (leaf)
+  GROUP BY leaf, line, wanted HAVING count(*) = wanted
+)"""
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, digest, pos, toks, array_to_string(toks, ' ') AS line, len(toks) AS n
@@ -143,22 +171,15 @@ WITH lines AS (
     FROM (SELECT doc_id, md5(text) AS digest, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
   ) WHERE len(toks) >= 3
 ), held AS (
-  SELECT DISTINCT line, toks, n, unnest(['0 ' || toks[1] || ' ' || toks[2] || ' ' || toks[3], '1 ' || toks[2] || ' ' || toks[3],
-    '2 ' || toks[1] || ' ' || toks[3], '3 ' || toks[1] || ' ' || toks[2]]) || ' ' || n AS leaf
-  FROM lines WHERE n > 3
-), sizes AS (
-  SELECT leaf, count(*) AS lines FROM held GROUP BY leaf
-), tokens AS (
-  SELECT leaf, line, n, unnest(toks) AS token, generate_subscripts(toks, 1) AS place FROM held
-), constants AS (
-  SELECT leaf, place, token, any_value(n) AS n FROM tokens JOIN sizes USING (leaf)
-  GROUP BY leaf, place, token, lines HAVING 2 * count(*) > lines
-), leaf_templates AS (
-  SELECT leaf, count(*) AS wanted FROM constants GROUP BY leaf, n HAVING count(*) FILTER (place > 3) >= 0.6 * (n - 3)
-), templates AS (
-  SELECT line, leaf AS template FROM tokens JOIN constants USING (leaf, place, token) JOIN leaf_templates USING (leaf)
-  GROUP BY leaf, line, wanted HAVING count(*) = wanted
-  UNION ALL SELECT DISTINCT line, 'line ' || line FROM lines
+  SELECT line, toks, n, '0 ' || toks[1] || ' ' || toks[2] || ' ' || toks[3] || ' ' || n AS leaf FROM lines WHERE n > 3
+), LEAVES(held, literal)
+, wild AS (
+  SELECT line, toks, n, unnest(['1 ' || toks[2] || ' ' || toks[3], '2 ' || toks[1] || ' ' || toks[3],
+    '3 ' || toks[1] || ' ' || toks[2]]) || ' ' || n AS leaf
+  FROM lines WHERE n > 3 AND line NOT IN (SELECT line FROM literal)
+), LEAVES(wild, free)
+, templates AS (
+  SELECT * FROM literal UNION ALL SELECT * FROM free UNION ALL SELECT DISTINCT line, 'line ' || line FROM lines
 ), found AS (
   SELECT doc_id, digest, pos, template FROM lines JOIN templates USING (line)
 ), recurring AS (
@@ -174,4 +195,4 @@ WITH lines AS (
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped,
        sha256(coalesce(r.text, '')) AS text_sha256
 FROM documents d LEFT JOIN remaining r USING (doc_id)
-"""
+""".replace("LEAVES(held, literal)\n", _LEAVES.format("held", "literal")).replace("LEAVES(wild, free)\n", _LEAVES.format("wild", "free"))
