@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.session import prepare
@@ -36,6 +38,16 @@ def own_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def under_own_names(
+    df: DataFrame, results: list[str], run: Callable[[DataFrame, dict[str, str]], DataFrame]
+) -> DataFrame:
+    """``run`` on ``df`` under names of its own, so that no column of the input can clash with the operator's; then
+    the input's columns under their names and the results. An input column with the name of a result gives way."""
+    plain, names = own_names(df)
+    out = run(plain, names)
+    return out.select(*[F.col(own).alias(c) for c, own in names.items() if c not in results], *results)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

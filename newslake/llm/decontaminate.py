@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newslake.functions.once import computed_once
-from newslake.llm.common import KEY, lower_ascii, sha256_hex, table, with_row_key
+from newslake.llm.common import KEY, lower_ascii, sha256_hex, table, under_own_names, with_row_key
 from newslake.session import materialise
 
 WINDOW = 13
@@ -103,6 +103,15 @@ def decontaminate(
     share: int = SHARE,
 ) -> DataFrame:
     """``docs`` with ``n_words n_hit n_items items_sha256 contaminated``."""
+    return under_own_names(
+        docs, ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        lambda plain, own: _decontaminate(plain, items, own[doc_id], own[text], item_id, item_text, window, share),
+    )
+
+
+def _decontaminate(
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, share: int
+) -> DataFrame:
     keyed = with_row_key(docs, doc_id, text)
     hashed = keyed.select(*KEY, computed_once(hashed_words(F.col(text))).alias("words"))
     listed = item_windows(items, item_id, item_text, window)

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newslake.llm.common import KEY, table, with_row_key
+from newslake.llm.common import KEY, table, under_own_names, with_row_key
 from newslake.llm.url_filter import url_host
 from newslake.session import materialise
 
@@ -112,6 +112,13 @@ def language_of(
     pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
     """``pages`` with ``host declared text_lang lang confidence``."""
+    return under_own_names(
+        pages, ["host", "declared", "text_lang", "lang", "confidence"],
+        lambda plain, own: _language_of(plain, docs, own[page_id], own[url], own[html]),
+    )
+
+
+def _language_of(pages: DataFrame, docs: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     langs, logs = fit(docs)
     keyed = with_row_key(pages, page_id, url, html)
     host = url_host(F.col(url))

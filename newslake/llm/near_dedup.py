@@ -14,7 +14,7 @@ no pair of documents becomes a row.
 
 Cases: a null text and a text without words have an empty set and link with nothing. Repeated rows are copies of each
 other; a repeated id is one document with all its links. A null id counts as the largest id and is never a
-component's name unless alone. Extra columns pass through.
+component's name unless alone. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newslake.llm.common import table
+from newslake.llm.common import table, under_own_names
 from newslake.session import materialise
 
 SHINGLE = 5
@@ -321,6 +321,12 @@ def near_dedup(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
     """``docs`` with ``n_shingles``, ``component_id`` and ``kept``."""
+    return under_own_names(
+        docs, ["n_shingles", "component_id", "kept"], lambda plain, own: _near_dedup(plain, own[doc_id], own[text], shingle, threshold)
+    )
+
+
+def _near_dedup(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold: int) -> DataFrame:
     named = docs.select("*", node_of(doc_id, text).alias("_node"), F.xxhash64(text).alias("_th"))
     nodes = named.select(F.col("_node").alias("node"), F.col("_th").alias("th"), F.col(text).alias("text"))
     drawn = materialise(sketches(nodes, shingle), "sketches")

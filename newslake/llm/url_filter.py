@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newslake.llm.common import KEY, lower_ascii, table, with_row_key
+from newslake.llm.common import KEY, lower_ascii, table, under_own_names, with_row_key
 
 SALTS = 32
 DEFAULT = "allow"
@@ -74,6 +74,12 @@ def filter_urls(
     pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", default: str = DEFAULT
 ) -> DataFrame:
     """``pages`` with ``host path rule verdict``. ``rules`` has ``verdict host path``."""
+    return under_own_names(
+        pages, ["host", "path", "rule", "verdict"], lambda plain, own: _filter_urls(plain, rules, own[page_id], own[url], default)
+    )
+
+
+def _filter_urls(pages: DataFrame, rules: DataFrame, page_id: str, url: str, default: str) -> DataFrame:
     keyed = with_row_key(pages, page_id, url)
     host, path = url_host(F.col(url)), url_path(F.col(url))
     ruled = rules.where("host IS NOT NULL AND host != ''").select(

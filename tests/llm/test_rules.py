@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from newslake.llm import decontaminate, line_frequency, line_templates, near_dedup, queries, url_filter
+from newslake.llm import decontaminate, language_id, line_frequency, line_templates, near_dedup, queries, url_filter
 from newslake.llm.decontaminate import decontaminate as clean
 
 DOCS = "doc_id long, text string, source string, n_words string"  # one column clashes with an output
@@ -138,20 +138,38 @@ def test_a_line_stays_in_a_document_that_stays(spark):
     assert all(got[i]["kept"] for i in range(1, 14))
 
 
-CLASHING = "n_words n_lines n_dropped dropped _k1 _words kept clean_text host line template".split()
+CLASHING = (
+    "n_words n_lines n_dropped dropped _k1 _k2 _words kept clean_text host line template n_hit items_sha256 item best rule path "
+    "verdict lang declared ll _node _th component_id n_shingles node class page page_id"
+).split()
 
 
-def test_columns_of_the_input_may_have_any_name(spark):
+def runs(spark):
+    items = spark.createDataFrame([(1, "shared by all texts")], "item_id long, text string")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    known = spark.createDataFrame([("some text here", "en"), ("autre texte ici", "fr")], "text string, lang string")
+    return {
+        "op1": (line_frequency.line_frequency, {"n_words", "kept", "clean_text"}),
+        "op3": (lambda d: clean(d, items), {"n_words", "n_hit", "items_sha256"}),
+        "op5": (lambda d: language_id.language_of(d, known, page_id="doc_id", url="source", html="text"), {"host", "declared", "lang"}),
+        "op7": (near_dedup.near_dedup, {"n_shingles", "component_id", "kept"}),
+        "op9": (line_templates.drop_recurring_lines, {"n_lines", "n_dropped"}),
+        "op10": (lambda d: url_filter.filter_urls(d, rules, page_id="doc_id", url="source"), {"host", "path", "rule", "verdict"}),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op5", "op7", "op9", "op10"])
+def test_columns_of_the_input_may_have_any_name(spark, name):
     schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHING)
-    rows = [(i, f"text number {chr(97 + i)} of all\nshared by all texts", "s", *[c + str(i) for c in CLASHING]) for i in range(4)]
-    docs = spark.createDataFrame(rows, schema)
-    for run, results in (
-        (line_frequency.line_frequency, {"n_words", "kept", "clean_text"}), (line_templates.drop_recurring_lines, {"n_lines", "n_dropped"})
-    ):
-        got = run(docs)
-        assert len(set(got.columns)) == len(got.columns) and set(docs.columns) <= set(got.columns)
-        for r in got.collect():
-            assert all(r[c] == c + str(r["doc_id"]) for c in CLASHING if c not in results)
+    text = lambda i: f"text number {chr(97 + i)} of all\nshared by all texts"
+    rows = [(i, text(i), "https://a.example.org/fr/", *[c + str(i) for c in CLASHING]) for i in range(4)]
+    run, results = runs(spark)[name]
+    got = run(spark.createDataFrame(rows, schema))
+    assert len(set(got.columns)) == len(got.columns) and {"doc_id", "text", "source", *CLASHING} <= set(got.columns)
+    found = got.collect()
+    assert len(found) == 4
+    for r in found:
+        assert all(r[c] == c + str(r["doc_id"]) for c in CLASHING if c not in results)
 
 
 def test_decontamination_by_brute_force(spark):
