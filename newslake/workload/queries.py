@@ -524,7 +524,8 @@ def _fresh_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def _answer_context(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     questions = views.asked(spark, sf_dir)
     vectors = views.vector_questions(spark, sf_dir).join(questions.select("question_id"), "question_id", "left_semi")
-    items = answer.question_context(questions, vectors, views.chunk_vectors(spark, sf_dir), *_fresh_parts(spark, sf_dir))
+    chunks = materialise(views.chunk_vectors(spark, sf_dir), "chunks")
+    items = answer.question_context(questions, vectors, chunks, *_fresh_parts(spark, sf_dir))
     return questions, items
 
 
