@@ -116,6 +116,8 @@ def _decontaminate(
     hashed = keyed.select(*KEY, computed_once(hashed_words(F.col(text))).alias("words"))
     listed = item_windows(items, item_id, item_text, window)
     lengths = sorted(r[0] for r in listed.select("length").distinct().collect())  # at most ``window`` numbers
+    if len(lengths) > 1:
+        hashed = materialise(hashed, "hashed-words")  # texts are cut into words once, whatever the lengths
     hits = None
     for length in lengths:
         of = minima(listed.where(F.col("length") == length), "words", length, "least")
