@@ -1,8 +1,8 @@
 """HTML to Markdown.
 
-One ladder of JVM regular expressions defines the Markdown. Two small Arrow helpers see only the rows
-the ladder cannot treat exactly: subtrees picked by attribute or badly nested boilerplate, and
-character references outside the short list.
+One ladder of JVM regular expressions defines the Markdown of flat markup. Small Arrow helpers see only the rows
+the ladder cannot treat exactly: subtrees picked by attribute or badly nested boilerplate, nested marks, numbered
+lists, preformatted text and tables with headings, and character references outside the short list.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from newslake.functions.markdown import where_nested
 from newslake.functions.once import computed_once
 from newslake.functions.text import strip
 
@@ -255,7 +256,8 @@ def with_markdown(df: DataFrame, page: str, out: str) -> DataFrame:
     df = df.withColumn("_marked_up", computed_once(markup_ladder(F.col("_body"))))
     df = with_entities_decoded(df, "_marked_up", "_decoded")
     tidy = strip(F.regexp_replace("_decoded", r"\n{3,}", "\n\n"))
-    return df.withColumn(out, computed_once(tidy)).drop("_body", "_marked_up", "_decoded")
+    df = df.withColumn("_nested", where_nested(F.col("_body")))
+    return df.withColumn(out, computed_once(F.coalesce("_nested", tidy))).drop("_body", "_marked_up", "_decoded", "_nested")
 
 
 def with_page_title(df: DataFrame, page: str, url: str, out: str) -> DataFrame:

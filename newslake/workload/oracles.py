@@ -397,6 +397,9 @@ shown AS (
     WHEN EXISTS (SELECT 1 FROM spans s WHERE s.page_id = c.page_id AND s.b = c.i) THEN substr(piece, strpos(piece, '>') + 1)
     WHEN c.i = 1 THEN piece ELSE '<' || piece END AS part FROM counted c)
 SELECT page_id, string_agg(part, '' ORDER BY i) AS html FROM shown GROUP BY page_id""",
+    "nested_markdown": r"""SELECT doc_id, '## ' || source || e'\n\nSome **bold *' || lang || '* and `' || doc_id || '`** text, *see [this](https://e.org/?a=1&b=2)*'
+  || e'\n\n3. one\n4. two\n   * ' || source || e'\n   * b\n5. last\n\n| a | b\\|c |\n| --- | --- |\n| ' || lang || ' | **' || doc_id || e'** |\n\n```\n'
+  || regexp_replace(coalesce(text, ''), '^\n', '') || e'\n```\n\nend' AS markdown FROM documents""",
     "pages_to_markdown": f"SELECT page_id, {markdown('html')} AS markdown FROM pages",
     "normalize_dates": f"""WITH {DOCS} SELECT doc_id, {stamp('''CASE doc_id % 6 WHEN 0 THEN date WHEN 1 THEN date
   WHEN 2 THEN date - INTERVAL 2 HOUR WHEN 3 THEN date + INTERVAL 330 MINUTE WHEN 4 THEN date_trunc('day', date) END''')} AS date FROM docs""",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newslake.functions import tags as tag_functions
 from newslake.functions.chunker import MAX_CHARS, register_split_text
 from newslake.functions.dates import normalise_date
-from newslake.functions.html import strip_tag_pairs, with_boilerplate_cut
+from newslake.functions.html import strip_tag_pairs, with_boilerplate_cut, with_markdown
 from newslake.functions.text import (
     article_id,
     chunk_article,
@@ -177,11 +177,13 @@ def strip_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from newslake.functions.html import with_markdown
-
     return with_markdown(views.table(spark, sf_dir, "pages"), "html", "markdown").select("page_id", "markdown")
 
 
+def nested_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_markdown(views.rich_fragments(spark, sf_dir), "html", "markdown").select("doc_id", "markdown")
+
+
 def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
     date = F.col("date")
@@ -697,7 +699,7 @@ QUERIES = {
     for f in (
         newsapi_normalize, newsapi_first_pages, accept_page_prefix, newsapi_format, fresh_normalize, fresh_top_per_topic,
         github_releases, feed_items, page_articles, route_payloads, rejects, hn_stories, source_catalogue, topic_labels,
-        ingest_gate, gate_rejects, article_ids, default_fields, strip_boilerplate, strip_marked, pages_to_markdown,
+        ingest_gate, gate_rejects, article_ids, default_fields, strip_boilerplate, strip_marked, pages_to_markdown, nested_markdown,
         normalize_dates, url_source, repo_names, detect_tags, tag_unions, split_tag_lists, expand_queries,
         parse_chunk_ids, chat_records, extract_answers, recent_articles, export_documents, import_documents, chunk_documents,
         split_text_udtf,

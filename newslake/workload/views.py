@@ -344,3 +344,16 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id", F.replace("html", F.lit("<article>"), F.concat(extra, F.lit("<article>"))).alias("html")
     )
+
+
+def rich_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fragments with nested emphasis, nested lists, a table and the whole text preformatted."""
+    n, text = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(
+        F.lit("<nav>menu</nav><h2>"), "source", F.lit("</h2><p>Some <b>bold <i>"), "lang", F.lit("</i> and <code>"), n,
+        F.lit("</code></b> text, <em>see <a href='https://e.org/?a=1&amp;b=2'>this</a></em></p><ol start=3><li>one</li><li>two<ul><li>"),
+        "source", F.lit("</li><li>b</li></ul></li><li>last</li></ol><table><tr><th>a</th><th>b|c</th></tr><tr><td>"), "lang",
+        F.lit("</td><td><b>"), n, F.lit("</b></td></tr></table><pre>"), text, F.lit("</pre><p>end</p>"),
+    ).alias("html"))

@@ -90,3 +90,24 @@ def test_titles(spark):
     rows = spark.createDataFrame([(i, p, "u") for i, p in enumerate(pages)], "i INT, page STRING, url STRING")
     got = [r["title"] for r in with_page_title(rows, "page", "url", "title").orderBy("i").collect()]
     assert got == ["Ab", "T & U", "u", "R&D é&", ""]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p><b>bold <i>both</i></b> x</p>", "**bold *both*** x"),
+        ("<b><a href='u'>l</a></b>", "**[l](u)**"),
+        ("<p><b> spaced <i>out</i> </b>x", " **spaced *out*** x".strip()),
+        ("<p><b>open <i>both<p>next <i>a <b>b</b></i>", "open both\n\nnext *a **b***"),
+        ("<ol><li>a<li>b<ol><li>c</ol><li>d</ol>", "1. a\n2. b\n   1. c\n3. d"),
+        ("<ul><li>a<ol start='7'><li>b</li></ol></li></ul>", "* a\n  7. b"),
+        ("<pre>\n  x *y*\n\n\n  &lt;z&gt;\n</pre>after", "```\n  x *y*\n\n\n  <z>\n\n```\n\nafter"),
+        ("<pre>never closed", "```\nnever closed\n```"),
+        ("<table><tr><th>a<th>b<tr><td>1</table>t", "| a | b |\n| --- | --- |\n| 1 |  |\n\nt"),
+        ("<table><th>only</table>", "| only |\n| --- |"),
+        ("<ol></ol>5 * 3<br>b", "5 \\* 3  \nb"),
+        ("<ol><li></ol></ol></table></b>", "1."),
+    ],
+)
+def test_nested_marks(spark, page, want):
+    assert markdown(spark, page) == [want]
