@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 from newslake.llm import decontaminate, language_id, line_frequency, line_templates, near_dedup, queries, url_filter
@@ -22,8 +23,14 @@ def duck(sf_dir):
 
 def bag(frame):
     columns = sorted(frame.columns)
-    blank = lambda v: "∅" if v is None or v != v else str(v)
-    return columns, sorted(tuple(map(blank, row)) for row in frame[columns].itertuples(index=False))
+
+    def shown(v):
+        """A column of numbers with nulls may come as floats or as integers."""
+        if v is None or v is pd.NA or v != v:
+            return "∅"
+        return str(int(v) if isinstance(v, float) and v.is_integer() else v)
+
+    return columns, sorted(tuple(map(shown, row)) for row in frame[columns].itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
