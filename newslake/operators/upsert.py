@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newslake.operators.ranking import first_per_group
-from newslake.session import exists, new_folder
+from newslake.session import exists, new_folder, remove
 
 BUCKETS = 64  # of a chunk table; a bucket should be a few GB
 
@@ -81,6 +81,7 @@ def upsert_buckets(
     there, so a folder for each set of updates makes the upsert repeatable at any point.
     """
     spark = updates.sparkSession
+    own = staged is None
     staged = staged or new_folder(spark, "buckets")
     if not exists(spark, f"{staged}/_SUCCESS"):
         batch = with_bucket(latest_per_chunk(updates, order), buckets)
@@ -94,6 +95,9 @@ def upsert_buckets(
     merged = spark.read.schema(with_bucket(updates, buckets).schema).parquet(staged)
     touched = sorted(r["bucket"] for r in merged.select("bucket").distinct().collect())
     if touched:
-        by_bucket = merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+        # The staged files hold a bucket each, so no row has to move again.
+        by_bucket = merged.write.mode("overwrite").partitionBy("bucket")
         by_bucket.option("partitionOverwriteMode", "dynamic").parquet(table)
+    if own:
+        remove(spark, staged)
     return touched
