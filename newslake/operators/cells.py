@@ -211,17 +211,13 @@ def _group_search(cells: _Cells, probes: int, k: int, schema: pa.Schema):
             return schema.empty_table()
         asked = _matrix(questions["embedding"])
         wanted = _wanted(asked, _reached(questions), cells, probes, k)
-        best, pending = _Best(asked, k, _reached_limits(questions)), []
+        best = _Best(asked, k, _reached_limits(questions))
         ids, rows, cell = _ids(chunks["chunk_id"]), _matrix(chunks["embedding"]), chunks["cell"].to_numpy()
         order = np.argsort(cell, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
             some = np.flatnonzero(wanted[:, cell[part[0]]])
             if len(some):
-                pending += best.scored(ids[part], rows[part], some=some)
-            if sum(len(p[0]) for p in pending) > 4 * k * len(asked):
-                best.merge(pending)
-                pending = []
-        best.merge(pending)
+                best.add(ids[part], rows[part], some=some)
         return pa.Table.from_batches(list(_emit(best, _ids(questions["question_id"]), schema)), schema)
 
     return search

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +151,32 @@ def test_chunk_side_is_not_shuffled_before_the_partial_ranking(spark, vectors):
     plan = search.top_k(q, c, 8)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert plan.index("WindowGroupLimit") < plan.index("MapInArrow")
+
+
+def test_few_pairs_are_ordered_once_a_question_has_a_limit(monkeypatch):
+    draw = np.random.default_rng(9)
+    unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (draw.normal(size=(n, 16)) for n in (40, 6400))]
+    monkeypatch.setattr(search, "TILE", 64)
+    ordered, partition = [], np.partition
+    monkeypatch.setattr(search.np, "partition", lambda d, *a, **b: ordered.append(d.size) or partition(d, *a, **b))
+    best = search._Best(unit[0], 4)
+    best.add(np.arange(6400), unit[1])
+    assert sum(ordered) <= 0.1 * 40 * 6400
+    want = np.argsort(np.round(1 - unit[0] @ unit[1].T, 6), axis=1, kind="stable")[:, :4]
+    assert best.ids.reshape(40, 4).tolist() == want.tolist()
+
+
+def test_memory_of_a_search_is_bounded_by_a_tile():
+    """Of every question only its ``k`` rows are held; what is merged is of one tile."""
+    draw, peaks = np.random.default_rng(10), []
+    rows = draw.normal(size=(12_000, 8))
+    ids = np.array([f"chunk-{i}" for i in range(len(rows))])
+    for size in (4_000, 32_000):
+        best = search._Best(draw.normal(size=(size, 8)), 8)
+        tracemalloc.start()
+        try:
+            best.add(ids, rows)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 60e6
