@@ -62,7 +62,6 @@ class _Best:
         """``bounds``: distances that the k-th best of each question is known not to exceed. ``asked_at``: times, for
         chunks that come with the time they were stored at; a question sees those stored before it."""
         self.questions, self.k, self.asked_at = questions, k, asked_at
-        self.rough = questions.astype(np.float32)
         self.limit = np.full(len(questions), np.inf) if bounds is None else bounds.copy()
         self.size = TILE
         tiles = range(-(-len(questions) // self.size))
@@ -81,11 +80,12 @@ class _Best:
         for part in np.split(some, np.flatnonzero(np.diff(some // self.size)) + 1):
             if not len(part):
                 continue
-            t = part[0] // self.size
+            t, asked = part[0] // self.size, self.questions[part]
+            rough_asked = asked.astype(np.float32)
             for a in range(0, len(ids), TILE):
                 cut = slice(a, a + TILE)
                 times = None if stored_at is None else stored_at[cut]
-                found = self._tile(ids[cut], rows[cut], rough[cut], part, times)
+                found = self._tile(part, asked, rough_asked, ids[cut], rows[cut], rough[cut], times)
                 if len(found[0]):
                     self.pending[t].append(found)
                 if sum(len(f[0]) for f in self.pending[t]) > 4 * self.k * self.size:
@@ -122,12 +122,19 @@ class _Best:
     q, distance, ids = (property(lambda self, i=i: self._column(i)) for i in range(3))
 
     def _tile(
-        self, ids: np.ndarray, rows: np.ndarray, rough: np.ndarray, some: np.ndarray, stored_at: np.ndarray | None
+        self,
+        some: np.ndarray,
+        asked: np.ndarray,
+        rough_asked: np.ndarray,
+        ids: np.ndarray,
+        rows: np.ndarray,
+        rough: np.ndarray,
+        stored_at: np.ndarray | None,
     ) -> tuple[np.ndarray, ...]:
         """Rows that may enter the best of a question; ties at the edge go to the lowest ids."""
         limit = self.limit[some]
         if not np.isinf(limit).all():
-            near = self.rough[some] @ rough.T >= (1.0 - limit - SCREEN_SLACK).astype(np.float32)[:, None]
+            near = rough_asked @ rough.T >= (1.0 - limit - SCREEN_SLACK).astype(np.float32)[:, None]
             if stored_at is not None:
                 near &= stored_at < self.asked_at[some, None]
             if np.count_nonzero(near) <= 8 * self.k * len(some):
@@ -135,11 +142,11 @@ class _Best:
                 d = np.empty(len(q))
                 step = max(1, SCORED_CELLS // rows.shape[1])
                 for a in range(0, len(q), step):
-                    one, two = self.questions[some[q[a:a + step]]], rows[c[a:a + step]]
+                    one, two = asked[q[a:a + step]], rows[c[a:a + step]]
                     d[a:a + step] = np.round(1.0 - np.einsum("ij,ij->i", one, two), DISTANCE_DIGITS) + 0.0
                 kept = d <= limit[q]
                 return some[q[kept]], d[kept], ids[c[kept]]
-        d = np.round(1.0 - self.questions[some] @ rows.T, DISTANCE_DIGITS) + 0.0
+        d = np.round(1.0 - asked @ rows.T, DISTANCE_DIGITS) + 0.0
         if stored_at is not None:
             d[stored_at >= self.asked_at[some, None]] = np.inf
         if d.shape[1] >= self.k:
