@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newslake.operators.ranking import first_per_group
-from newslake.session import exists, new_folder, remove
+from newslake.session import exists, materialise, new_folder, remove, work_of_a_run
 
 BUCKETS = 64  # of a chunk table; a bucket should be a few GB
 
@@ -59,11 +59,16 @@ def read_buckets(spark: SparkSession, table: str) -> DataFrame:
 
 
 def unchanged_left_out(updates: DataFrame, table: DataFrame) -> DataFrame:
-    """Records that the table doesn't hold as they are. Only ids and digests of the table's touched buckets move."""
+    """Records that the table doesn't hold as they are. Only ids and digests of the table's touched buckets move.
+
+    The digests are compared, not joined on, so updates that lie by chunk id do not move either.
+    """
     columns = sorted(c for c in updates.columns if c in table.columns)
     digest = F.xxhash64(*[x for c in columns for x in (F.col(c), F.col(c).isNull())]).alias("_digest")
-    held = table.select("chunk_id", digest)
-    return updates.select("*", digest).join(held, ["chunk_id", "_digest"], "left_anti").drop("_digest").select(*updates.columns)
+    new, held = updates.select("*", digest).alias("new"), table.select("chunk_id", digest).alias("held")
+    same = F.col("new._digest").bitwiseXOR(F.col("held._digest")) == 0
+    left = new.join(held, (F.col("new.chunk_id") == F.col("held.chunk_id")) & same, "left_anti")
+    return left.drop("_digest").select(*updates.columns)
 
 
 def upsert_buckets(
@@ -85,13 +90,16 @@ def upsert_buckets(
     staged = staged or new_folder(spark, "buckets")
     if not exists(spark, f"{staged}/_SUCCESS"):
         batch = with_bucket(latest_per_chunk(updates, order), buckets)
-        if exists(spark, table):
-            named = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-            held = read_buckets(spark, table).where(F.col("bucket").isin(named))
-            batch = unchanged_left_out(batch, held)
-            touched = F.broadcast(batch.select("bucket").distinct())
-            batch = upsert_chunks(held.join(touched, "bucket", "left_semi").select(*batch.columns), batch, order)
-        batch.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        with work_of_a_run(spark, "upsert"):
+            if exists(spark, table):
+                ids = with_bucket(updates.select("article_id"), buckets)
+                named = [r["bucket"] for r in ids.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+                held = read_buckets(spark, table).where(F.col("bucket").isin(named))
+                batch = materialise(unchanged_left_out(batch, held), "changed")  # read three times
+                touched = F.broadcast(batch.select("bucket").distinct())
+                kept = held.join(touched, "bucket", "left_semi").join(batch.select("chunk_id"), "chunk_id", "left_anti")
+                batch = kept.select(*batch.columns).unionByName(batch)
+            batch.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
     merged = spark.read.schema(with_bucket(updates, buckets).schema).parquet(staged)
     touched = sorted(r["bucket"] for r in merged.select("bucket").distinct().collect())
     if touched:

@@ -113,3 +113,24 @@ def test_untouched_buckets_keep_their_files(spark, tmp_path):
     assert got == {r[0]: "old" for r in rows} | {"a1-0": "new", "a1-9": "more"}
     scan = spark.read.parquet(table).where(F.col("bucket").isin([bucket]))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in scan or f"(bucket#" in scan
+
+
+def test_updates_are_made_few_times(spark, tmp_path):
+    """An upsert reads its updates for the buckets' numbers and for the records, whatever it does with them."""
+    schema = "chunk_id STRING, article_id STRING, content STRING, fetched_at TIMESTAMP"
+    when = datetime(2024, 6, 1)
+    rows = [(f"a{i}-0", f"a{i}", f"text {i}", when) for i in range(40)]
+    table = str(tmp_path / "table")
+    upsert.upsert_buckets(spark.createDataFrame(rows, schema), table, buckets=4)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    changed = spark.createDataFrame([(c, a, t + " again", w) for c, a, t, w in rows[::2]], schema)
+    assert upsert.upsert_buckets(changed.mapInArrow(seen, schema), table, buckets=4) == [0, 1, 2, 3]
+    assert made.value <= 2 * 20
+    got = {r["chunk_id"]: r["content"] for r in upsert.read_buckets(spark, table).collect()}
+    assert got == {f"a{i}-0": f"text {i}" + " again" * (i % 2 == 0) for i in range(40)}
