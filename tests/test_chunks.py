@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from newslake.functions.chunker import register_split_text, split_text
 from newslake.operators.chunking import chunk_articles, chunk_records, fixed_chunks, stored_articles
+from newslake.session import prepare
 
 
 def test_short_text_is_one_chunk():
@@ -87,3 +89,16 @@ def test_records_and_count_of_stored_articles(spark):
     assert {r["fetched_at"] for r in records} == {by_id["a-0"]["fetched_at"]}
     stored = stored_articles(chunk_records(spark.createDataFrame(rows, ARTICLES), F.lit("2024-06-01")))
     assert stored.first()["stored"] == 2
+
+
+def test_texts_cross_to_python_in_small_batches(spark):
+    """A Python worker holds a bounded part of its rows, however many and however long they are."""
+    rows = prepare(spark).range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 8000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    got = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 5000 and max(r["n"] for r in got) <= 2048
+    assert max(r["size"] for r in got) <= 10 << 20
