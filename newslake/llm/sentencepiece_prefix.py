@@ -21,7 +21,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -41,6 +41,22 @@ LONG_RUN = 48  # longer runs are not remembered
 NEVER = float("-inf")
 
 
+class KnownRuns(dict):
+    """What ``make`` makes of each run, remembered if it is short."""
+
+    def __init__(self, make: Callable[[str], tuple[str, bytes, bytes]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, run: str) -> tuple[str, bytes, bytes]:
+        found = self.make(run)
+        if len(run) <= LONG_RUN:
+            if len(self) >= REMEMBERED_RUNS:
+                self.clear()
+            self[run] = found
+        return found
+
+
 class PrefixEncoder:
     """Encoder and decoder of one model file's contents."""
 
@@ -78,7 +94,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         self.histories: dict[int, tuple[list, list] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[str, bytes, bytes]] = {}
+        self.known = KnownRuns(self.run)
         self.id_text = [str(i) for i in range(len(self.names))]
         alone = re.escape("".join(sorted(self.symbols_apart()))) or MARK
         letters, end = r"[^\W_]", f"{MARK}\n"
@@ -208,18 +224,11 @@ class PrefixEncoder:
 
     def run(self, run: str) -> tuple[str, bytes, bytes]:
         """Ids of a run joined by commas, its decoded bytes, and the ids as 32-bit integers."""
-        found = self.known.get(run)
-        if found is None:
-            ids = self.encode_run(run)
-            found = ",".join(map(self.id_text.__getitem__, ids)), self.decode_ids(ids), array("i", ids).tobytes()
-            if len(run) <= LONG_RUN:
-                if len(self.known) >= REMEMBERED_RUNS:
-                    self.known.clear()
-                self.known[run] = found
-        return found
+        ids = self.encode_run(run)
+        return ",".join(map(self.id_text.__getitem__, ids)), self.decode_ids(ids), array("i", ids).tobytes()
 
     def runs(self, text: str) -> list[tuple[str, bytes, bytes]]:
-        return list(map(self.run, self.split(MARK + text.replace(" ", MARK)))) if text else []
+        return list(map(self.known.__getitem__, self.split(MARK + text.replace(" ", MARK)))) if text else []
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join([r[2] for r in self.runs(text)]), np.int32).tolist()
