@@ -180,3 +180,15 @@ def test_memory_of_a_search_is_bounded_by_a_tile():
         finally:
             tracemalloc.stop()
     assert peaks[1] - peaks[0] < 60e6
+
+
+def test_questions_without_a_time_see_all_chunks(monkeypatch):
+    draw = np.random.default_rng(12)
+    unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (draw.normal(size=(n, 6)) for n in (9, 900))]
+    monkeypatch.setattr(search, "TILE", 50)
+    asked_at = np.where(np.arange(9) % 3 == 0, np.nan, 450.0)
+    best = search._Best(unit[0], 3, asked_at=asked_at)
+    best.add(np.arange(900), unit[1], np.arange(900))
+    d = np.round(1 - unit[0] @ unit[1].T, 6)
+    d[np.arange(9) % 3 != 0, 450:] = np.inf
+    assert best.ids.reshape(9, 3).tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].tolist()
