@@ -19,11 +19,12 @@ from newslake.operators.ranking import first_per_group
 from newslake.session import materialise
 
 DISTANCE_DIGITS = 6
-SLICE_BYTES = 64 << 20  # of question vectors that the driver and every task hold at a time
+SLICE_BYTES = 16 << 20  # of question vectors that the driver and every task hold at a time
+SLICE_FINDS = 1 << 18  # rows of questions of a slice that a task holds, about
 QUESTION_BLOCK = 16_384
 CHUNK_BLOCK = 16_384
-TILE = 2048
-SCORED_CELLS = 1 << 21  # of pairs of vectors that are scored at a time
+TILE = 1024
+SCORED_CELLS = 1 << 19  # of pairs of vectors that are scored at a time
 # Over the error of a product of unit vectors in single precision (dimensions * 2^-24) and the rounding of a distance.
 SCREEN_SLACK = 1e-3
 
@@ -88,7 +89,7 @@ class _Best:
                 found = self._tile(part, asked, rough_asked, ids[cut], rows[cut], rough[cut], times)
                 if len(found[0]):
                     self.pending[t].append(found)
-                if sum(len(f[0]) for f in self.pending[t]) > 4 * self.k * self.size:
+                if sum(len(f[0]) for f in self.pending[t]) > self.k * self.size:
                     self._merge(t)
 
     def _merge(self, t: int) -> None:
@@ -146,7 +147,9 @@ class _Best:
                     d[a:a + step] = np.round(1.0 - np.einsum("ij,ij->i", one, two), DISTANCE_DIGITS) + 0.0
                 kept = d <= limit[q]
                 return some[q[kept]], d[kept], ids[c[kept]]
-        d = np.round(1.0 - asked @ rows.T, DISTANCE_DIGITS) + 0.0
+        d = asked @ rows.T
+        np.round(np.subtract(1.0, d, out=d), DISTANCE_DIGITS, out=d)
+        d += 0.0
         if stored_at is not None:
             d[stored_at >= self.asked_at[some, None]] = np.inf
         if d.shape[1] >= self.k:
@@ -204,12 +207,14 @@ def top_k(
     k: int = CHAT_HITS,
     slice_bytes: int = SLICE_BYTES,
     bound_parts: int | None = None,
+    slice_finds: int = SLICE_FINDS,
 ) -> DataFrame:
     """``(question_id, rank, chunk_id, distance)``: the exact ``k`` nearest chunks of every question.
 
-    The questions are written once and taken in slices of about ``slice_bytes`` of vectors, by their size on record;
-    each slice is sent to the tasks that scan the chunks, and no chunk is ever shuffled. A task emits at most ``k``
-    rows per question. Where the chunks have very many splits, ``bound_parts`` cuts that down: any ``k`` distances
+    The questions are written once and taken in slices of about ``slice_bytes`` of vectors, by their size on record,
+    and ``slice_finds`` rows of results; each slice is sent to the tasks that scan the chunks, and no chunk is ever
+    shuffled. Where there are several slices, the vectors of the chunks are written once and scanned from there. A task
+    emits at most ``k`` rows per question. Where the chunks have very many splits, ``bound_parts`` cuts that down: any ``k`` distances
     bound the k-th best from above, so a first scan over one part in so many of the chunks gives bounds, and the
     second emits only rows within them. The result is the same.
     """
@@ -217,7 +222,8 @@ def top_k(
     ddl, schema = _result_schema(questions, chunks)
     questions = materialise(questions, "questions")
     n, dims = questions.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    slices = max(1, -(-n * 8 * max(dims or 0, 1) // slice_bytes))
+    slices = max(1, -(-n * 8 * max(dims or 0, 1) // slice_bytes), -(-n * k // slice_finds))
+    chunks = materialise(chunks, "chunks") if slices > 1 else chunks
     found = None
     for i in range(slices):
         part = _filled(_part(questions, "question_id", slices, i).toArrow())

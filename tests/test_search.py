@@ -182,6 +182,32 @@ def test_memory_of_a_search_is_bounded_by_a_tile():
     assert peaks[1] - peaks[0] < 60e6
 
 
+def test_a_full_slice_of_questions_takes_little_memory():
+    draw, dims, k = np.random.default_rng(11), 64, 8
+    n = min(search.SLICE_BYTES // (8 * dims), getattr(search, "SLICE_FINDS", 1 << 62) // k)
+    questions, rows = draw.normal(size=(n, dims)), draw.normal(size=(4096, dims))
+    ids = np.array([f"a{i:07d}-{i % 4}" for i in range(len(rows))])
+    best = search._Best(questions, k)
+    tracemalloc.start()
+    try:
+        for a in range(0, len(ids), 2048):
+            best.add(ids[a:a + 2048], rows[a:a + 2048])
+        for _ in best.found():
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert questions.nbytes + peak < 80e6
+
+
+def test_slices_are_bounded_by_their_finds_too(spark, vectors, monkeypatch):
+    q, c = tables(spark, vectors)
+    sizes, scan = [], search._scan
+    monkeypatch.setattr(search, "_scan", lambda chunks, ids, *rest: sizes.append(len(ids)) or scan(chunks, ids, *rest))
+    assert rows(search.top_k(q, c, 8, slice_finds=100)) == brute_force(vectors, 8)
+    assert len(sizes) == 3 and sum(sizes) == 37
+
+
 def test_questions_without_a_time_see_all_chunks(monkeypatch):
     draw = np.random.default_rng(12)
     unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (draw.normal(size=(n, 6)) for n in (9, 900))]
