@@ -44,6 +44,7 @@ ROUNDS = 3
 PROBES = 8
 TARGET_RECALL = 0.9
 CALIBRATION_ROWS = 1024  # questions that are searched exactly to choose the number of probes
+CELL_DISTANCES = 1 << 19  # of rows to centroids that are held at a time
 # Distances are compared after rounding, and bounds are floating point.
 SLACK = 2 * 10.0 ** -DISTANCE_DIGITS
 
@@ -64,6 +65,12 @@ def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def _blocks(n: int, centroids: np.ndarray) -> Iterator[slice]:
+    """``n`` rows in blocks of about ``CELL_DISTANCES`` distances to the centroids."""
+    step = max(1, CELL_DISTANCES // max(1, len(centroids)))
+    return (slice(a, min(a + step, n)) for a in range(0, n, step))
+
+
 def _cell_sums(centroids: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(len(centroids), dtype=np.int64), np.zeros_like(centroids)
@@ -71,7 +78,7 @@ def _cell_sums(centroids: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], It
             batch = _filled(batch)
             if batch.num_rows:
                 rows = _matrix(batch.column("embedding"))
-                cell = _distances(rows, centroids).argmin(axis=1)
+                cell, _ = _nearest_cell(rows, centroids)
                 n += np.bincount(cell, minlength=len(n))
                 np.add.at(total, cell, rows)
         met = np.flatnonzero(n)
@@ -108,14 +115,22 @@ def fit_centroids(
     return centroids
 
 
+def _nearest_cell(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest cell of every row, and its distance."""
+    cell, away = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+    for part in _blocks(len(rows), centroids):
+        distance = _distances(rows[part], centroids)
+        cell[part] = distance.argmin(axis=1)
+        away[part] = distance[np.arange(len(distance)), cell[part]]
+    return cell, away
+
+
 def _assigned(centroids: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = _filled(batch)
             if batch.num_rows:
-                distance = _distances(_matrix(batch.column("embedding")), centroids)
-                cell = distance.argmin(axis=1)
-                away = distance[np.arange(len(cell)), cell]
+                cell, away = _nearest_cell(_matrix(batch.column("embedding")), centroids)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(cell, pa.int32()), pa.array(away)], [*batch.schema.names, "cell", "away"]
                 )
@@ -156,8 +171,19 @@ def _nearest(away: np.ndarray, sizes: np.ndarray, probes: int, k: int) -> np.nda
     return out & (sizes > 0)
 
 
-def _wanted(rows: np.ndarray, reached: np.ndarray | None, index: "_Cells", probes: int, k: int) -> np.ndarray:
-    """Which cells each question reads: its nearest, or with ``reached`` the others that may hold a better chunk."""
+def _wanted(
+    rows: np.ndarray, reached: np.ndarray | None, index: "_Cells", probes: int, k: int, cells: np.ndarray | None = None
+) -> np.ndarray:
+    """Which cells, or which of ``cells``, each question reads: its nearest, or with ``reached`` the others that may
+    hold a better chunk. Only the answer is held for all questions."""
+    out = np.zeros((len(rows), len(index.centroids) if cells is None else len(cells)), dtype=bool)
+    for part in _blocks(len(rows), index.centroids):
+        found = _wanted_of(rows[part], None if reached is None else reached[part], index, probes, k)
+        out[part] = found if cells is None else found[:, cells]
+    return out
+
+
+def _wanted_of(rows: np.ndarray, reached: np.ndarray | None, index: "_Cells", probes: int, k: int) -> np.ndarray:
     away = _distances(rows, index.centroids)
     near = _nearest(away, index.sizes, probes, k)
     if reached is None:
@@ -210,12 +236,13 @@ def _group_search(cells: _Cells, probes: int, k: int, schema: pa.Schema):
         if not questions.num_rows or not chunks.num_rows:
             return schema.empty_table()
         asked = _matrix(questions["embedding"])
-        wanted = _wanted(asked, _reached(questions), cells, probes, k)
         best = _Best(asked, k, _reached_limits(questions))
         ids, rows, cell = _ids(chunks["chunk_id"]), _matrix(chunks["embedding"]), chunks["cell"].to_numpy()
         order = np.argsort(cell, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-            some = np.flatnonzero(wanted[:, cell[part[0]]])
+        met = np.unique(cell)  # those of the group
+        wanted = _wanted(asked, _reached(questions), cells, probes, k, met)
+        for i, part in enumerate(np.split(order, np.flatnonzero(np.diff(cell[order])) + 1)):
+            some = np.flatnonzero(wanted[:, i])
             if len(some):
                 best.add(ids[part], rows[part], some=some)
         return pa.Table.from_batches(list(_emit(best, _ids(questions["question_id"]), schema)), schema)
@@ -298,9 +325,12 @@ def probes_for(
     found = hits.join(some, "question_id").select("embedding", "cell").toArrow()  # k rows a question at most
     if not found.num_rows:
         return PROBES
-    away = np.where(index.sizes > 0, _distances(_matrix(found["embedding"]), index.centroids), np.inf)
-    cell = found["cell"].to_numpy()
-    rank = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1)[np.arange(len(cell)), cell]
+    cell, rows = found["cell"].to_numpy(), _matrix(found["embedding"])
+    rank = np.zeros(len(cell), dtype=np.int64)
+    for part in _blocks(len(cell), index.centroids):
+        away = np.where(index.sizes > 0, _distances(rows[part], index.centroids), np.inf)
+        place = np.argsort(np.argsort(away, axis=1, kind="stable"), axis=1)
+        rank[part] = place[np.arange(len(place)), cell[part]]
     wanted = min(1.0, target + math.sqrt(target * (1 - target) / len(cell)) + 0.01)
     return int(np.quantile(rank, wanted, method="higher")) + 1
 

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newslake.operators import cells, search
@@ -59,3 +62,42 @@ def test_empty_tables_and_rows_without_vector(spark):
         assert [(r[0], r[2]) for r in cells.search_cells(cells.build_cells(c), q, exact=exact).collect()] == [("a", "x")]
         assert cells.search_cells(cells.build_cells(c), q.where("false"), exact=exact).count() == 0
         assert cells.search_cells(cells.build_cells(c.where("false")), q, exact=exact).count() == 0
+
+
+@pytest.mark.parametrize("reached", [False, True])
+def test_memory_of_a_group_does_not_grow_with_the_cells(reached):
+    """A task of 16,384 questions looks at all centroids, some rows at a time, and keeps what it is told of its group."""
+    draw, n, peaks = np.random.default_rng(8), 16_384, []
+    points = draw.normal(size=(n, 4))
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), 4).cast(pa.list_(pa.float64()))
+    questions = pa.table({"question_id": pa.array([f"q{i}" for i in range(n)]), "embedding": vectors})
+    if reached:
+        questions = questions.append_column("reached", pa.array(np.full(n, 0.5)))
+    schema = pa.schema([("question_id", pa.string()), ("chunk_id", pa.string()), ("distance", pa.float64())])
+    for size in (50, 1000):
+        known = cells._Cells(draw.normal(size=(size, 4)), np.full(size, 100), np.ones(size), np.zeros(size, np.int64))
+        chunks = pa.table({
+            "chunk_id": pa.array([f"c{i}" for i in range(200)]), "embedding": vectors[:200],
+            "cell": pa.array(np.arange(200) // 100, pa.int32()),
+        })
+        tracemalloc.start()
+        try:
+            cells._group_search(known, 8, 8, schema)(questions, chunks)
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 60e6
+
+
+def test_blocks_of_rows_tell_the_same_cells(monkeypatch):
+    draw = np.random.default_rng(6)
+    rows, centroids, sizes = draw.normal(size=(90, 5)), draw.normal(size=(30, 5)), np.arange(30) % 4
+    known = cells._Cells(centroids, sizes, np.full(30, 0.5), np.zeros(30, np.int64))
+    reached, some = np.where(np.arange(90) % 7 == 0, np.nan, 0.4), np.array([2, 3, 17])
+    whole = [cells._wanted(rows, r, known, 3, 8) for r in (None, reached)]
+    nearest = cells._nearest_cell(rows, centroids)
+    monkeypatch.setattr(cells, "CELL_DISTANCES", 200)
+    for r, want in zip((None, reached), whole):
+        assert (cells._wanted(rows, r, known, 3, 8) == want).all()
+        assert (cells._wanted(rows, r, known, 3, 8, some) == want[:, some]).all()
+    assert all(np.allclose(a, b) for a, b in zip(cells._nearest_cell(rows, centroids), nearest))
